@@ -1,45 +1,17 @@
-"""Shared helpers: scratch tables in the cluster's checkpoint folder, table reading, text bytes."""
+"""Shared helpers: table reading, keys and text bytes. Scratch tables come from the engine."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.plans.scratch import materialize, scratch_path  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests) one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftgraph-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
-def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder; the file system deletes it when the driver's JVM ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: the lineage is cut,
-    the files outlive any executor, and later joins exchange them directly, so that adaptive
-    execution can split a hot key."""
-    spark = df.sparkSession
-    path = scratch_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(text: Column | str) -> Column:
     """UTF-8 bytes of a text; a null text is empty."""
     col = F.col(text) if isinstance(text, str) else text

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import packing, simhash
 
 QUERIES = {
+    "op2_simhash_near_dedup": simhash.query,
     "op9_best_fit_packing": packing.query,
 }
 ORACLES: dict[str, str] = {}
