@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, simhash
+from . import media, packing, simhash
 
 QUERIES = {
+    "op1_media_columns": media.query,
     "op2_simhash_near_dedup": simhash.query,
     "op9_best_fit_packing": packing.query,
 }
