@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import media, packing, simhash
+from . import media, packing, quality, simhash
 
 QUERIES = {
     "op1_media_columns": media.query,
     "op2_simhash_near_dedup": simhash.query,
+    "op3_quality_classifier": quality.query,
     "op9_best_fit_packing": packing.query,
 }
 ORACLES: dict[str, str] = {}
