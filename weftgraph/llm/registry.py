@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import media, packing, quality, simhash
+from . import chat, media, packing, quality, simhash, warc
 
 QUERIES = {
     "op1_media_columns": media.query,
     "op2_simhash_near_dedup": simhash.query,
     "op3_quality_classifier": quality.query,
+    "op6_chat_formatting": chat.query,
+    "op7_warc": warc.query,
     "op9_best_fit_packing": packing.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_chat_formatting": chat.ORACLE,
+    "op7_warc": warc.ORACLE,
+}
