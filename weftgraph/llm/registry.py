@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, media, packing, quality, simhash, warc
+from . import chat, langmodel, media, packing, quality, simhash, warc
 
 QUERIES = {
     "op1_media_columns": media.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_classifier": quality.query,
     "op6_chat_formatting": chat.query,
     "op7_warc": warc.query,
+    "op8_lm_scoring": langmodel.query,
     "op9_best_fit_packing": packing.query,
 }
 ORACLES: dict[str, str] = {
