@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import chat, langmodel, media, packing, quality, simhash, warc
+from . import chat, decontaminate, langmodel, media, packing, quality, simhash, warc
 
 QUERIES = {
     "op1_media_columns": media.query,
     "op2_simhash_near_dedup": simhash.query,
     "op3_quality_classifier": quality.query,
+    "op5_benchmark_decontamination": decontaminate.query,
     "op6_chat_formatting": chat.query,
     "op7_warc": warc.query,
     "op8_lm_scoring": langmodel.query,
     "op9_best_fit_packing": packing.query,
 }
 ORACLES: dict[str, str] = {
+    "op5_benchmark_decontamination": decontaminate.query,
     "op6_chat_formatting": chat.ORACLE,
     "op7_warc": warc.ORACLE,
 }
