@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langmodel, media, packing, quality, simhash, warc
+from . import chat, decontaminate, langmodel, media, packing, pii, quality, simhash, warc
 
 QUERIES = {
+    "op10_pii_surrogates": pii.query,
     "op1_media_columns": media.query,
     "op2_simhash_near_dedup": simhash.query,
     "op3_quality_classifier": quality.query,
