@@ -1,24 +1,59 @@
-"""A corpus-cleaning pipeline over ``documents``: each stage takes what its predecessor kept."""
+"""A corpus-cleaning pipeline over ``documents``: each stage takes what its predecessor kept.
+
+Quality first (rejected documents go), then near duplicates (the document with the smallest doc_id
+of each group stays), benchmark passages (documents that hold one go), personal data (replaced by
+surrogates) and at last the packing of what is left into sequences. All but the last return the
+columns of documents. A document's doc_id is its key, as in the table: of rows that repeat a doc_id
+within one group all or none stay.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import common, packing
+from weftgraph.llm import common, decontaminate, packing, pii, quality, simhash
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents predicted to be good."""
+    return quality.keep_good(docs, common.table(spark, sf_dir, "labels"))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate group."""
+    return simhash.keep_first(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark item."""
+    return decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data; n_chars follows the new text."""
+    return pii.anonymise_documents(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents into sequences of 4096 tokens."""
     return packing.pack(docs)
 
 
-STAGES = [("best-fit packing", best_fit_packing)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("PII surrogates", pii_surrogates),
+    ("best-fit packing", best_fit_packing),
+]
+#: The stages are no SQL; tests/llm/test_pipeline.py holds them against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = common.materialize(docs, "stage")
+            docs = common.materialize(docs, f"stage-{name.replace(' ', '-')}")
     return docs

@@ -315,6 +315,15 @@ def anonymise(docs: DataFrame, key: bytes = KEY, spans: str | None = None) -> Da
     return out.drop(per_row) if per_row else out
 
 
+def anonymise_documents(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+    """anonymise, and n_chars, where there is one, counts the new text if the text changed."""
+    out = anonymise(docs, key, spans="_entities")
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.size("_entities") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
 def _attempts_by_row(docs: DataFrame, other: DataFrame) -> tuple[DataFrame, str]:
     """docs with a column that lists the attempts that matter in each row."""
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langmodel, media, packing, pii, quality, simhash, warc
+from . import chat, decontaminate, langmodel, licenses, media, packing, pii, quality, simhash, warc
 
 QUERIES = {
     "op10_pii_surrogates": pii.query,
     "op1_media_columns": media.query,
     "op2_simhash_near_dedup": simhash.query,
     "op3_quality_classifier": quality.query,
+    "op4_license_scans": licenses.query,
     "op5_benchmark_decontamination": decontaminate.query,
     "op6_chat_formatting": chat.query,
     "op7_warc": warc.query,
@@ -16,6 +17,7 @@ QUERIES = {
     "op9_best_fit_packing": packing.query,
 }
 ORACLES: dict[str, str] = {
+    "op4_license_scans": licenses.query,
     "op5_benchmark_decontamination": decontaminate.query,
     "op6_chat_formatting": chat.ORACLE,
     "op7_warc": warc.ORACLE,

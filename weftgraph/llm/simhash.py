@@ -206,6 +206,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return groups(common.materialize(fingerprints(docs, shingle), "fingerprints"), radius)
 
 
+#: Ids that may be broadcast to drop documents; more of them are joined by a shuffle.
+FEW_IDS = 1_000_000
+
+
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs, unchanged, whose doc_id is the smallest of their group, or null in a group
+    of null ids only."""
+    found = near_duplicates(docs, shingle, radius)
+    drop = common.materialize(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "copies")
+    few = F.broadcast(drop) if drop.count() <= FEW_IDS else drop
+    return docs.join(few, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
