@@ -62,6 +62,16 @@ def test_whole_table_and_gain(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_sums_by_row():
+    rnd = np.random.default_rng(3)
+    rows = np.minimum(rnd.geometric(0.05, 900), 60).astype(np.uint16)
+    grad = rnd.normal(size=(300, 5)).astype(np.float32)
+    want = np.zeros((61, 5))
+    np.add.at(want, rows, np.tile(grad, (3, 1)))
+    row, each, sums = langmodel.sums_by_row(rows, grad)
+    assert np.allclose(sums, want[row], atol=1e-4) and each.tolist() == np.bincount(rows)[row].tolist() and sorted(row) == sorted(set(rows.tolist()))
+
+
 def test_threshold_is_a_bound(spark):
     counts = spark.createDataFrame([(b"w%d" % k, 1, 1 + k % 100) for k in range(5000)], "word binary, c_train long, c_all long")
     for most in (1, 40, 777, 5000):

@@ -34,7 +34,7 @@ from . import common
 
 FOLDS, HELD_OUT = 7, 2
 VOCABULARY, CLASSES, SINGLE, ROWS = 1 << 18, 64, 40, 1 << 14
-BATCH, STEP = 4096, 0.3
+BATCH, STEP, FEW = 4096, 0.3, 8
 #: Distinct words a task counts before it hands them on.
 COUNTED = 300_000
 END = b""  # no word is empty
@@ -82,6 +82,24 @@ def threshold(counts: DataFrame, most: int = VOCABULARY) -> int:
     return least
 
 
+def sums_by_row(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, times, sum) over the distinct rows: rows[k] gets grad[k % len(grad)]. Few occurrences
+    are added one after another for all rows at once, many by a reduction."""
+    order = np.argsort(rows, kind="stable")
+    sorted_ = rows[order]
+    start = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
+    each, at = np.diff(np.r_[start, len(rows)]), order % len(grad)
+    sums = grad[at[start]]
+    few = each <= FEW
+    for k in range(1, FEW):
+        more = np.flatnonzero(few & (each > k))
+        sums[more] += grad[at[start[more] + k]]
+    if not few.all():
+        many = np.repeat(~few, each)
+        sums[~few] = np.add.reduceat(grad[at[many]], np.r_[0, np.cumsum(each[~few])[:-1]], axis=0)
+    return sorted_[start].astype(np.int64), each, sums
+
+
 class Model:
     """What workers need: the vocabulary's ids and counts, classes and weights."""
 
@@ -152,13 +170,9 @@ class Model:
             n = some.shape[1]
             grad = np.exp(self.log_classes(some))
             grad[np.arange(n), cls[at : at + BATCH]] -= 1
-            flat = some.ravel()
-            order = np.argsort(flat, kind="stable")
-            sorted_ = flat[order]
-            start = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-            row, sums = sorted_[start], np.add.reduceat(grad[order % n], start, axis=0)
-            squares[row] += (sums**2).sum(1)
-            touched[row] += np.diff(np.r_[start, len(flat)])
+            row, each, sums = sums_by_row(some.ravel().astype(np.uint16), grad)
+            squares[row] += np.einsum("ij,ij->i", sums, sums)
+            touched[row] += each
             self.weights[row] -= STEP * sums / np.sqrt(squares[row] + 1)[:, None]
 
     def log10_tokens(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
