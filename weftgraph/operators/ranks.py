@@ -179,7 +179,7 @@ SELECT id, round(r, {digits}) AS rank FROM t WHERE it = {k}"""
 QUERIES = {"pagerank_sync": _q_sync, "pagerank_async": _q_async, "rank_distance": _q_distance, "s_topk": _q_top, "s_rank": _q_rank, "bc": _q_bc}
 ORACLES = {
     "pagerank_sync": _jacobi(10, 12),
-    "pagerank_async": _jacobi(110, 9),
+    "pagerank_async": _jacobi(170, 9),
     "rank_distance": f"""WITH a AS ({_jacobi(1, 12)}), b AS ({_jacobi(10, 12)}),
 p AS (SELECT id, row_number() OVER (ORDER BY rank DESC, id) AS p FROM a), q AS (SELECT id, row_number() OVER (ORDER BY rank DESC, id) AS q FROM b),
 m AS (SELECT id, p, q FROM p JOIN q USING (id) WHERE p <= 100 OR q <= 100)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from weftgraph.operators import components, ranks, traversal
+from weftgraph.operators import components, primitives, ranks, reduce, traversal
 
-MODULES = (traversal, components, ranks)
+MODULES = (traversal, components, ranks, primitives, reduce)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
