@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from weftgraph.operators import components, primitives, ranks, reduce, selection, traversal
+from weftgraph.operators import components, flow, logic, pointsto, primitives, ranks, reduce, selection, traversal
 
-MODULES = (traversal, components, ranks, primitives, reduce, selection)
+MODULES = (traversal, components, ranks, primitives, reduce, selection, flow, pointsto, logic)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
