@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from weftgraph.operators import components, flow, formats, logic, pointsto, primitives, ranks, reduce, selection, traversal
+from weftgraph.operators import components, flow, formats, logic, loops, pointsto, primitives, ranks, reduce, report, selection, traversal
 
-MODULES = (traversal, components, ranks, primitives, reduce, selection, flow, pointsto, logic, formats)
+MODULES = (traversal, components, ranks, primitives, reduce, selection, flow, pointsto, logic, formats, report, loops)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
