@@ -34,7 +34,7 @@ from . import common
 
 SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCK_BITS, BLOCKS = 15, 16, 4
-#: Items' shingles that go out in one filter (of SLOTS bytes each at least).
+#: Items' shingles that go out in one filter (of SLOTS slots each at least).
 BLOCK, SLOTS = 250_000, 32
 
 
@@ -107,9 +107,10 @@ def windows(docs: DataFrame, own: DataFrame, n_shingles: int) -> DataFrame:
         some = whole.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
         places = some.select("n", F.posexplode("hashes").alias("place", "hash")).distinct()
         slots = 1 << max(10, (SLOTS * BLOCK if blocks > 1 else SLOTS * n_shingles).bit_length())
-        marks = bytearray(slots)
+        marks = bytearray(slots // 4)  # four slots a byte, which stays below 16
         for r in places.select("hash").distinct().toLocalIterator():
-            marks[r["hash"] & slots - 1] = marks[r["hash"] >> 32 & slots - 1] = 1
+            for at in (r["hash"] & slots - 1, r["hash"] >> 32 & slots - 1):
+                marks[at >> 2] |= 1 << (at & 3)
         table = F.lit(bytes(marks))
 
         long_ = cut.filter(F.size("words") >= SHINGLE)
@@ -133,7 +134,8 @@ def _marked(table: Column, slots: int):
 
     def one(h: Column, shift: int) -> Column:
         at = F.shiftright(h, shift).bitwiseAND(F.lit(slots - 1).cast("long")).cast("int")
-        return F.substring(table, at + 1, F.lit(1)) == F.lit(b"\x01")
+        byte = F.ascii(F.substring(table, F.shiftright(at, 2) + 1, F.lit(1)).cast("string"))
+        return F.call_function("shiftright", byte, at.bitwiseAND(F.lit(3))).bitwiseAND(F.lit(1)) == 1
 
     return lambda x: one(x["hash"], 0) & one(x["hash"], 32)
 
@@ -162,6 +164,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     probes = texts.select("text", "n", "fp", F.explode(block_values(F.col("fp"), 0)).alias("b")).select("*", "b.block", "b.value").drop("b")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius
     same_size = (F.col("n") == F.col("item_n")) | ((F.col("n") < F.col("item_n")))  # a whole shorter document
+    listed = listed.hint("merge")  # thousands of rows an item, which Spark's estimate doesn't know
     pairs = common.materialize(probes.join(listed, ["block", "value"]).filter(near & same_size).select("text", "item_id").distinct(), "candidates")
     weigh = lambda df, *by: df.select(*by, F.explode(shingles(F.col("words"), joined)).alias("shingle")).groupBy(*by, "shingle").agg(F.count("*").alias("weight"))
     left = weigh(texts.join(pairs.select("text").distinct(), "text", "left_semi"), "text")
