@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from weftgraph.operators import components, flow, formats, geometry, logic, loops, pointsto, primitives, ranks, reduce, report, selection, traversal
+from weftgraph.operators import bodies, components, flow, formats, geometry, logic, loops, partitioning, pointsto, primitives, ranks, reduce, regression, report, selection, survey, traversal
 
-MODULES = (traversal, components, ranks, primitives, reduce, selection, flow, pointsto, logic, formats, report, loops, geometry)
+MODULES = (traversal, components, ranks, primitives, reduce, selection, flow, pointsto, logic, formats, report, loops, geometry, bodies, regression, partitioning, survey)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
