@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.traversal import sssp_all
-from weftgraph.plans.engine import in_one_task, is_compact, numbered
+from weftgraph.plans.engine import in_one_task, is_compact, numbered, sent_adjacency
 from weftgraph.plans.fixtures import cte, edges
 from weftgraph.plans.graph import Graph, reversed_edges
 from weftgraph.plans.scratch import materialize
@@ -113,6 +113,9 @@ def betweenness(graph: Graph, sources: DataFrame | None = None) -> DataFrame:
     vertex, unweighted, not normalised; parallel edges are paths of their own."""
     own = materialize(graph.edges.select("src", "dst"), "edges")
     sources = graph.has_out().select("id") if sources is None else sources
+    if is_compact(own):
+        summed = _betweenness_compact(own, sources)
+        return graph.vertices.select("id").join(summed, "id", "left").select("id", F.coalesce("bc", F.lit(0.0)).alias("bc"))
     levels = materialize(sssp_all(Graph(graph.vertices, own.distinct().withColumn("w", F.lit(1).cast("long"))), sources).withColumnRenamed("dist", "level"), "levels")
     deepest = levels.agg(F.max("level")).first()[0] or 0
     sigma = [materialize(levels.filter("level = 0").select("source", "id", F.lit(1.0).alias("sigma")), "sigma")]
@@ -134,6 +137,38 @@ def betweenness(graph: Graph, sources: DataFrame | None = None) -> DataFrame:
     return graph.vertices.select("id").join(summed, "id", "left").select("id", F.coalesce("bc", F.lit(0.0)).alias("bc"))
 
 
+def _betweenness_compact(own: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, bc) with the sources dealt over tasks, each of which has the whole small graph."""
+    held = sent_adjacency(own)
+
+    def run(stream):
+        g = held.value
+        total = np.zeros(len(g.ids))
+        for pdf in stream:
+            for s in g.places(pdf["id"].to_numpy(np.int64)):
+                level, sigma = np.full(len(g.ids), -1), np.zeros(len(g.ids))
+                level[s], sigma[s], front, steps = 0, 1.0, np.array([s]), []
+                while len(front):
+                    e, n = g.edges_of(front)
+                    a, b = np.repeat(front, n), g.dst[e]
+                    level[b[level[b] < 0]] = len(steps) + 1
+                    tight = level[b] == len(steps) + 1
+                    a, b = a[tight], b[tight]
+                    sigma += np.bincount(b, sigma[a], len(g.ids))
+                    steps.append((a, b))
+                    front = np.unique(b)
+                delta = np.zeros(len(g.ids))
+                for a, b in reversed(steps):
+                    delta += np.bincount(a, sigma[a] * (1 + delta[b]) / sigma[b], len(g.ids))
+                delta[s] = 0
+                total += delta
+        met = np.flatnonzero(total)
+        yield pd.DataFrame({"id": g.ids[met], "bc": total[met]})
+
+    spread = sources.select("id").distinct().repartition("id")
+    return spread.mapInPandas(run, "id long, bc double").groupBy("id").agg(F.sum("bc").alias("bc"))
+
+
 def _bip(spark, sf_dir) -> Graph:
     own = materialize(edges(spark, sf_dir, "bip"), "fixture")
     return Graph.from_edges(own.unionByName(reversed_edges(own)))

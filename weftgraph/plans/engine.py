@@ -74,36 +74,59 @@ def least_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return fixpoint(first, step, what="paths").drop("active")
 
 
+class Adjacency:
+    """Out-edges of a small graph in arrays, to be sent to every worker."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, w: np.ndarray | None = None, *more: np.ndarray):
+        self.ids, at = np.unique(np.concatenate([src, dst, *more]), return_inverse=True)
+        a, b = at[: len(src)], at[len(src) : 2 * len(src)]
+        order = np.argsort(a, kind="stable")
+        self.dst, self.w = b[order], None if w is None else w[order]
+        self.start = np.searchsorted(a[order], np.arange(len(self.ids) + 1))
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """Places of those ids that are vertices here."""
+        at = np.searchsorted(self.ids, ids)
+        return at[(at < len(self.ids)) & (self.ids[np.minimum(at, len(self.ids) - 1)] == ids)] if len(self.ids) else at[:0]
+
+    def edges_of(self, front: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(edge, how many of them each vertex of the frontier has)."""
+        n = self.start[front + 1] - self.start[front]
+        return np.repeat(self.start[front] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()), n
+
+
+def sent_adjacency(edges: DataFrame, number=np.int64):
+    """A broadcast Adjacency of a table that is_compact."""
+    got = edges.toArrow()
+    w = got["w"].to_numpy().astype(number) if "w" in got.column_names else None
+    own = Adjacency(got["src"].to_numpy().astype(np.int64), got["dst"].to_numpy().astype(np.int64), w)
+    return edges.sparkSession.sparkContext.broadcast(own)
+
+
 def _least_paths_compact(edges: DataFrame, seeds: DataFrame, kind: str) -> DataFrame:
-    rows = edges.select(F.lit(None).cast("long").alias("source"), "src", "dst", "w").unionByName(
-        seeds.select("source", F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), F.col("dist").cast(kind).alias("w"))
-    )
+    """Sources are dealt over tasks; each task has the whole small graph."""
     number = np.float64 if kind in ("double", "float") else np.int64
+    held = sent_adjacency(edges, number)
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        is_edge = pdf["dst"].notna().to_numpy()
-        own, first = pdf[is_edge], pdf[~is_edge]
-        ids, a, b = numbered(own, first["src"].to_numpy(np.int64))
-        w = own["w"].to_numpy(number)
-        order = np.argsort(a, kind="stable")
-        a, b, w = a[order], b[order], w[order]
-        start = np.searchsorted(a, np.arange(len(ids) + 1))
-        out, far = [], np.iinfo(np.int64).max if number is np.int64 else np.inf
-        for source, some in first.groupby("source", sort=True):
-            dist = np.full(len(ids), far, number)
-            at = np.searchsorted(ids, some["src"].to_numpy(np.int64))
-            np.minimum.at(dist, at, some["w"].to_numpy(number))
+    def run(stream):
+        own, far = held.value, np.iinfo(np.int64).max if number is np.int64 else np.inf
+        got = list(stream)
+        for source, some in pd.concat(got).groupby("source", sort=True) if got else ():
+            known = some["id"].isin(own.ids)
+            lone = some[~known].groupby("id", as_index=False)["dist"].min()  # seeds without edges
+            dist = np.full(len(own.ids), far, number)
+            at = own.places(some["id"].to_numpy(np.int64)[known.to_numpy()])
+            np.minimum.at(dist, at, some["dist"].to_numpy(number)[known.to_numpy()])
             front = np.unique(at)
             while len(front):
-                n = start[front + 1] - start[front]
-                e = np.repeat(start[front] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                new = np.repeat(dist[front], n) + w[e]
-                better = new < dist[b[e]]
-                to, new = b[e][better], new[better]
+                e, n = own.edges_of(front)
+                to, new = own.dst[e], np.repeat(dist[front], n) + own.w[e]
+                better = new < dist[to]
+                to, new = to[better], new[better]
                 np.minimum.at(dist, to, new)
                 front = np.unique(to)
             met = np.flatnonzero(dist < far)
-            out.append(pd.DataFrame({"source": np.int64(source), "id": ids[met], "dist": dist[met]}))
-        return pd.concat(out) if out else pd.DataFrame({"source": [], "id": [], "dist": []})
+            yield pd.DataFrame({"source": np.int64(source), "id": np.r_[own.ids[met], lone["id"].to_numpy(np.int64)], "dist": np.r_[dist[met], lone["dist"].to_numpy(number)]})
 
-    return in_one_task(rows, kernel, f"source long, id long, dist {kind}")
+    rows = seeds.select("source", "id", F.col("dist").cast(kind).alias("dist"))
+    return rows.repartition("source").mapInPandas(run, f"source long, id long, dist {kind}")
