@@ -24,6 +24,19 @@ def crc_mod(key: Column | str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+#: Bytes of an Arrow batch that goes to a Python worker; Spark's own default is 64 MB.
+BATCH_BYTES = 8 << 20
+
+
+def narrow(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches held to ``BATCH_BYTES``: beside rows of text of any
+    length a worker's memory then stays small. A smaller setting stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name).rstrip("b")) > BATCH_BYTES:
+        conf.set(name, BATCH_BYTES)
+    return df
+
+
 def batches(column, rows: int = 2048):
     """Slices of an Arrow batch small enough to work on at once."""
     for at in range(0, column.num_rows, rows):

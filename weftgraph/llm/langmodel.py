@@ -253,7 +253,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, counts and both scores of every row."""
     fold = common.crc_mod("doc_id", FOLDS) == HELD_OUT
-    docs = docs.select("doc_id", fold.alias("held_out"), (~fold).alias("train"), common.text_bytes("text").alias("t"))
+    docs = common.narrow(docs).select("doc_id", fold.alias("held_out"), (~fold).alias("train"), common.text_bytes("text").alias("t"))
     counts = word_counts(docs)
     least = threshold(counts)
     hot = F.col("c_all") >= least

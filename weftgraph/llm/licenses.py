@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHINGLE, CONTAINMENT, BANDS, SEGMENT, REMEMBERED = 5, 0.8, 48, 1 << 15, 200_000
+SHINGLE, CONTAINMENT, BANDS, SEGMENT, REMEMBERED = 5, 0.8, 48, 1 << 15, 100_000
 _WORD = re.compile(r"[^\W_]+")
 
 #: Notices and grants in common use: name and text.
@@ -189,7 +189,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
                     kinds = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in MATCH.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MATCH)
+    return common.narrow(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MATCH)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

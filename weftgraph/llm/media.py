@@ -104,7 +104,7 @@ def interleave(html: str | None) -> list[dict]:
 
 def sequences(pages: DataFrame, *keep: str, html: str = "html") -> DataFrame:
     """The columns ``keep`` and ``items``: the page's texts and media references in order."""
-    out = pages.select(*keep, F.col(html).alias("html"))
+    out = common.narrow(pages).select(*keep, F.col(html).alias("html"))
 
     def run(stream):
         kind = pa.list_(pa.struct([("position", pa.int32()), *((n, pa.string()) for n in ("kind", "text", "digest", "src", "caption"))]))
@@ -180,7 +180,7 @@ def store(payloads: DataFrame) -> DataFrame:
                 rows = [(d, encode(p)) for d, p in zip(*(c.to_pylist() for c in batch.columns), strict=True) if not (d in known or known.add(d))]
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.string()), pa.array([m for _, m in rows], pa.binary())], names=["digest", "media"])
 
-    return common.materialize(payloads.select("digest", "payload").mapInArrow(run, "digest string, media binary"), "media")
+    return common.materialize(common.narrow(payloads).select("digest", "payload").mapInArrow(run, "digest string, media binary"), "media")
 
 
 FEATURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

@@ -33,7 +33,7 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct space-separated words whose ids a worker remembers before it starts afresh.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 
 def byte_signs() -> dict[int, int]:
     """The sign by which a byte-level tokenizer writes each byte: itself if it prints, else the next
@@ -133,7 +133,7 @@ def tokenise(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None =
                         seen[length] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW, strict=True)], names=PIECES.names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return common.narrow(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
 
 ARROW = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]

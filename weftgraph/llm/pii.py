@@ -195,7 +195,7 @@ def _syllables(name: str, kind: str, key: bytes, attempt: int) -> str:
     return out + ends[kind]
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def surrogate(kind: str, canonical: str, attempt: int = 0, key: bytes = KEY) -> str:
     """Canonical form of the entity's surrogate."""
     if kind[0] == "G" or kind == "SURNAME":
@@ -259,7 +259,7 @@ def entities(docs: DataFrame) -> DataFrame:
             rows = sorted(own)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["type", "canonical"])
 
-    return common.materialize(docs.select("text").mapInArrow(run, "type string, canonical string").distinct(), "entities")
+    return common.materialize(common.narrow(docs).select("text").mapInArrow(run, "type string, canonical string").distinct(), "entities")
 
 
 def other_attempts(own: DataFrame, key: bytes = KEY) -> DataFrame:

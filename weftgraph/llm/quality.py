@@ -156,12 +156,12 @@ def score(model: Trees, text: Column | str) -> Column:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, unchanged, whose score reaches the threshold."""
-    model = train(docs, labels)
+    model = train(common.narrow(docs), labels)
     return docs.filter(score(model, "text") >= threshold)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs = common.narrow(common.table(spark, sf_dir, "documents"))
     model = train(docs, common.table(spark, sf_dir, "labels"))
     out = docs.select("doc_id", (common.crc_mod("doc_id", FOLDS) == 0).alias("held_out"), score(model, "text").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 found = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), common.text_bytes("text").alias("t")).mapInArrow(run, "doc_id long, fp long")
+    return common.narrow(docs).select(F.col("doc_id").cast("long"), common.text_bytes("text").alias("t")).mapInArrow(run, "doc_id long, fp long")
 
 
 def gray_rank(fp: Column) -> Column:

@@ -133,7 +133,7 @@ def unzipped(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
 
 def write(pages: DataFrame, min_revisit: int = MIN_REVISIT, segment: int = SEGMENT) -> str:
     """Write the archives of (page_id, url, html) and return their folder."""
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), common.text_bytes("html").alias("payload"))
+    own = common.narrow(pages).select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), common.text_bytes("html").alias("payload"))
     own = own.withColumn("digest", F.sha2("payload", 256))
     large = F.octet_length("payload") >= min_revisit
     first = own.filter(large).groupBy("digest").agg(F.min("page_id").alias("first"))
