@@ -17,8 +17,6 @@ QUERIES = {
     "op9_best_fit_packing": packing.query,
 }
 ORACLES: dict[str, str] = {
-    "op4_license_scans": licenses.query,
-    "op5_benchmark_decontamination": decontaminate.query,
     "op6_chat_formatting": chat.ORACLE,
     "op7_warc": warc.ORACLE,
 }
