@@ -196,3 +196,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+#: The same matches without fingerprints: every window that shares a shingle with an item of its
+#: size, compared as it is (items of five words and more, as all in the tables are).
+ORACLE = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT item_id, w, len(w) AS n FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 5),
+ds AS (SELECT doc_id, len(w) AS size, unnest(range(len(w) - 4)) AS pos, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM d WHERE len(w) >= 5),
+s AS (SELECT item_id, n, unnest(range(n - 4)) AS place, unnest(list_transform(range(1, n - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM i),
+win AS (SELECT DISTINCT doc_id, n, greatest(0, least(pos - place, size - n)) AS start FROM ds JOIN (SELECT DISTINCT s, n, place FROM s) USING (s)),
+ws AS (SELECT doc_id, n, start, x.s, count(*) AS c FROM win JOIN d USING (doc_id), LATERAL (SELECT unnest(list_transform(range(start + 1, greatest(start + 2, least(start + n, len(w)) - 3)), lambda k: array_to_string(w[k:least(k + 4, start + n)], ' '))) AS s) x GROUP BY ALL),
+wt AS (SELECT doc_id, n, start, sum(c) AS total FROM ws GROUP BY ALL),
+si AS (SELECT item_id, n, s, count(*) AS c FROM s GROUP BY ALL),
+p AS (SELECT ws.doc_id, ws.n, ws.start, si.item_id, sum(least(ws.c, si.c)) AS shared FROM ws JOIN si ON si.s = ws.s AND si.n = ws.n GROUP BY ALL),
+r AS (SELECT doc_id, item_id, CAST(shared AS DOUBLE) / CAST(total + n - 4 - shared AS DOUBLE) AS similarity, start, n FROM p JOIN wt USING (doc_id, n, start))
+SELECT doc_id, item_id, max(similarity) AS similarity, CAST(arg_max(start, (similarity, -start)) AS INTEGER) AS start, CAST(any_value(n) AS INTEGER) AS n_words FROM r WHERE similarity >= 0.8 GROUP BY 1, 2
+"""

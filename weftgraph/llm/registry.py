@@ -17,6 +17,7 @@ QUERIES = {
     "op9_best_fit_packing": packing.query,
 }
 ORACLES: dict[str, str] = {
+    "op5_benchmark_decontamination": decontaminate.ORACLE,
     "op6_chat_formatting": chat.ORACLE,
     "op7_warc": warc.ORACLE,
 }
