@@ -5,6 +5,10 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from weftgraph.plans.scratch import materialize
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 
@@ -32,7 +36,22 @@ def sql(spark: SparkSession, sf_dir: str, text: str, **frames: DataFrame) -> Dat
     return spark.sql(text, **used, **frames)
 
 
+def next_in_order(rows: DataFrame, value: str, *order: str) -> DataFrame:
+    """The rows with ``next``, the value of the row after in the order: ranges of the order are sorted
+    apart, and only each range's first value goes over to the range before it."""
+    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    spread = materialize(spread, "ranges")
+    inner = spread.withColumn("_next", F.lead(value).over(Window.partitionBy("_part").orderBy(*order)))
+    firsts = spread.groupBy("_part").agg(F.min_by(value, F.struct(*order)).alias("_first"))  # a row a range
+    over = firsts.select("_part", F.lead("_first").over(Window.orderBy("_part")).alias("_over"))
+    return inner.join(over, "_part").withColumn("next", F.coalesce("_next", "_over")).drop("_part", "_next", "_over")
+
+
 def edges(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "user":  # as its text says, without one task for all events
+        events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_id", "user_id")
+        steps = next_in_order(events, "user_id", "ts", "event_id").filter("next IS NOT NULL AND user_id <> next")
+        return steps.groupBy(F.col("user_id").alias("src"), F.col("next").alias("dst")).agg(F.count("*").alias("w"))
     return sql(spark, sf_dir, GRAPHS[name]).selectExpr("CAST(src AS BIGINT) src", "CAST(dst AS BIGINT) dst", "CAST(w AS BIGINT) w")
 
 
