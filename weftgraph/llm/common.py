@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +34,8 @@ def narrow(df: DataFrame) -> DataFrame:
     """df, with the session's Arrow batches held to ``BATCH_BYTES``: beside rows of text of any
     length a worker's memory then stays small. A smaller setting stays."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(conf.get(name).rstrip("b")) > BATCH_BYTES:
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", conf.get(name).strip().lower()).groups()
+    if int(number) << 10 * " kmgt".index(unit or " ") > BATCH_BYTES:
         conf.set(name, BATCH_BYTES)
     return df
 
