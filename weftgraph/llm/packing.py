@@ -73,7 +73,8 @@ class WordIds(dict):
 
     def __missing__(self, word: str) -> bytes:
         if word[-1:] in (".", ",") and word[-2:-1].isalpha():  # the pre-tokenizer parts these from letters
-            return self[word[:-1]] + self[word[-1]]
+            found = self[word] = self[word[:-1]] + self[word[-1]]
+            return found
         if word.isascii() and (lower := word.lower()) != word:
             return self[lower]
         found = self.older.get(word)
@@ -92,6 +93,8 @@ class WordIds(dict):
         return found
 
     def of(self, text: str) -> bytes:
+        if text.isascii() or "\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text):
+            text = text.lower()  # at once; signs whose case depends on more than themselves are left
         words = text.split()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # split() takes these for white space, the tokenizer doesn't
             words = text.replace("\n", " ").split(" ")
