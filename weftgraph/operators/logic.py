@@ -139,9 +139,18 @@ def _q_adders(spark, sf_dir, run=simulate):
     return sums.groupBy("key").agg(F.sum(F.call_function("pow", F.lit(2.0), F.col("k")) * F.col("value").cast("int")).cast("long").alias("total"))
 
 
+def _q_io(spark, sf_dir):
+    """Inputs drive stimuli, outputs keep the last value: an inverter of each nation's parity."""
+    keys = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("k"))
+    name = lambda p: F.concat(F.lit(p), F.col("k").cast("string"))
+    gates = keys.select(F.col("k").alias("gate"), F.lit("inv").alias("fn"), name("o").alias("out"), name("i").alias("in1"), F.lit(None).cast("string").alias("in2"), (F.col("k") + 1).alias("delay"))
+    pulses = keys.select(name("i").alias("net"), F.explode(F.array(F.struct(F.lit(0).cast("long").alias("time"), F.lit("X").alias("value")), F.struct(F.lit(5).cast("long").alias("time"), (F.col("k") % 2).cast("string").alias("value")))).alias("p")).select("net", "p.time", "p.value")
+    return simulate(gates, pulses).filter(F.col("net").startswith("o")).select("net", "value", "time")
+
+
 _ADD = "SELECT CAST(c_nationkey AS BIGINT) AS key, CAST(c_nationkey + count(*) AS BIGINT) AS total FROM customer GROUP BY 1, c_nationkey"
 _X = "(VALUES ('0'), ('1'), ('X'))"
-QUERIES = {"logic_fn": _q_function, "des_ordered": _q_adders, "des_unordered": _q_adders, "des_ordered_par": _q_adders}
+QUERIES = {"logic_fn": _q_function, "des_ordered": _q_adders, "des_unordered": _q_adders, "des_ordered_par": _q_adders, "des_io": _q_io}
 ORACLES = {
     "logic_fn": f"""SELECT fn, a, b, CASE fn WHEN 'buf' THEN a WHEN 'inv' THEN translate(a, '01', '10')
   WHEN 'and2' THEN x WHEN 'nand2' THEN translate(x, '01', '10') WHEN 'or2' THEN y WHEN 'nor2' THEN translate(y, '01', '10')
@@ -153,4 +162,5 @@ FROM (SELECT fn, a, b, least(a, b) AS l, CASE WHEN a = '0' OR b = '0' THEN '0' W
     "des_ordered": _ADD,
     "des_unordered": _ADD,
     "des_ordered_par": _ADD,
+    "des_io": "SELECT 'o' || n_nationkey AS net, CAST(1 - n_nationkey % 2 AS VARCHAR) AS value, CAST(6 + n_nationkey AS BIGINT) AS time FROM nation",
 }

@@ -132,7 +132,7 @@ def _q_doall(spark, sf_dir):
     return do_all(own.select("l_orderkey", "l_quantity"), double=(F.col("l_quantity") * 2).cast("long")).select("l_orderkey", "double")
 
 
-QUERIES = {"l_foreach": _q_foreach, "l_foreach_local": _q_foreach, "l_break": _q_break, "l_push": _q_ordered, "l_ordered": _q_ordered, "l_ordered_u": _q_ordered, "l_doall": _q_doall, "l_oneach": _q_oneach, "l_det": _q_det}
+QUERIES = {"l_foreach": _q_foreach, "l_foreach_local": _q_foreach, "l_break": _q_break, "l_push": _q_ordered, "l_ordered": _q_ordered, "l_ordered_u": _q_ordered, "l_ordered_2p": _q_ordered, "l_ordered_lc": _q_ordered, "l_doall": _q_doall, "l_oneach": _q_oneach, "l_det": _q_det}
 _REACH = f"""WITH RECURSIVE {cte("sparse")}, {HUB}, t(id, d) AS (SELECT id, 0 FROM s UNION SELECT e.dst, t.d + 1 FROM t JOIN e ON e.src = t.id WHERE t.d < {{depth}})"""
 _ALL = f"""WITH RECURSIVE {cte("sparse")}, {HUB}, t(id) AS (SELECT id FROM s UNION SELECT e.dst FROM t JOIN e ON e.src = t.id) SELECT DISTINCT id FROM t"""
 _WALK = _REACH.format(depth=3) + ' SELECT DISTINCT id, d AS "at" FROM t'
@@ -143,6 +143,8 @@ ORACLES = {
     "l_push": _WALK,
     "l_ordered": _WALK,
     "l_ordered_u": _WALK,
+    "l_ordered_2p": _WALK,
+    "l_ordered_lc": _WALK,
     "l_doall": "SELECT l_orderkey, CAST(l_quantity * 2 AS BIGINT) AS double FROM lineitem",
     "l_oneach": "SELECT count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem",
     "l_det": f"""WITH {cte("sparse")} SELECT (SELECT count(*) FROM v) AS items,

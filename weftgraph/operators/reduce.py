@@ -117,6 +117,7 @@ QUERIES = {
     "a_vecelem": lambda s, d: vector_sum(s.read.parquet(f"{d}/embeddings.parquet").select("label", F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000)).alias("v")), "v", "label"),
     "a_mapelem": lambda s, d: _lines(s, d).groupBy("l_suppkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("total")),
     "a_welford": lambda s, d: online_stat(_lines(s, d), "l_quantity", "l_returnflag").select("l_returnflag", "n", *(F.round(c, 6).alias(c) for c in ("mean", "var_samp", "var_pop"))),
+    "a_atomic": lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.count("*").alias("increments"), F.max_by("event_id", "ts").alias("last_write")),
     "s_sort": lambda s, d: nth_element(_lines(s, d), 1000, F.desc("l_extendedprice"), "l_orderkey", "l_partkey").select("l_orderkey", "l_partkey", "l_extendedprice"),
     "s_part": _q_partition,
     "s_nth": lambda s, d: nth_element(s.read.parquet(f"{d}/orders.parquet"), 50, "o_totalprice", "o_orderkey").select("o_orderkey", "o_totalprice"),
@@ -146,6 +147,7 @@ ORACLES = {
     "a_vecelem": "SELECT label, CAST(i - 1 AS INTEGER) AS place, CAST(sum(CAST(floor(CAST(embedding[i] AS DOUBLE) * 1000) AS BIGINT)) AS BIGINT) AS total FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2",
     "a_mapelem": "SELECT l_suppkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total FROM lineitem GROUP BY 1",
     "a_welford": "SELECT l_returnflag, count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean, round(var_samp(l_quantity), 6) AS var_samp, round(var_pop(l_quantity), 6) AS var_pop FROM lineitem GROUP BY 1",
+    "a_atomic": "SELECT user_id, count(*) AS increments, arg_max(event_id, ts) AS last_write FROM events GROUP BY 1",
     "s_sort": _SORT,
     "s_part": "SELECT CASE WHEN l_quantity >= 25 THEN 'yes' ELSE 'no' END AS side, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem GROUP BY 1",
     "s_nth": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 50",
