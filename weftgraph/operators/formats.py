@@ -112,7 +112,8 @@ def _q_femap(spark, sf_dir):
     from weftgraph.sources.femap import read_femap, write_femap
 
     path, mesh = scratch_path(spark, "femap"), _mesh(spark, sf_dir)
-    write_femap(mesh["node"].withColumn("z", F.lit(0.0)), mesh["ele"], path)
+    node = mesh["node"].withColumns({"id": F.col("id") + 1, "z": F.lit(0.0)})  # 0 is no node there
+    write_femap(node, mesh["ele"].select("id", *(F.col(c) + 1 for c in ("p1", "p2", "p3"))).toDF("id", "p1", "p2", "p3"), path)
     back = read_femap(spark, path)
     ele = back["elements"].select("id", F.array_join("nodes", ",").alias("corners"))
     return ele.join(back["nodes"], "id").select("id", "corners", "x", "y")
@@ -327,7 +328,7 @@ SELECT id, CAST(sum(d) OVER (ORDER BY id) - d AS BIGINT) AS "from" FROM c""",
     "src_netlist": "SELECT CAST(17 AS BIGINT) AS outputs, CAST(0 AS BIGINT) AS wrong",
     "gen_netlist": "SELECT CAST(17 AS BIGINT) AS outputs, CAST(0 AS BIGINT) AS wrong",
     "src_triangle": f"WITH {_P} SELECT id, (id - 1) || ',' || id || ',' || (id + 1) AS corners, x, y, id - 1 AS q1 FROM p WHERE id BETWEEN 1 AND (SELECT count(*) - 2 FROM p)",
-    "src_femap": f"WITH {_P} SELECT id, (id - 1) || ',' || id || ',' || (id + 1) AS corners, x, y FROM p WHERE id BETWEEN 1 AND (SELECT count(*) - 2 FROM p)",
+    "src_femap": f"WITH {_P} SELECT id + 1 AS id, (id + 1) || ',' || (id + 2) || ',' || (id + 3) AS corners, x, y FROM p WHERE id < (SELECT count(*) - 2 FROM p)",
     "src_points": f"WITH {_P} SELECT id, x, y FROM p",
     "src_libsvm": "SELECT CAST(i AS INTEGER) AS feature, round(avg(v), 6) AS mean, min(v) AS low, max(v) AS high FROM (SELECT i, round(CAST(embedding[i] AS DOUBLE), 6) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i)) GROUP BY 1",
     "src_dense": "SELECT vec_id AS row, round(CAST(embedding[1] AS DOUBLE), 6) AS first, round(CAST(embedding[64] AS DOUBLE), 6) AS last, CAST(label AS DOUBLE) AS target FROM embeddings",

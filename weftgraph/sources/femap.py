@@ -38,7 +38,7 @@ def read_femap(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     constraints(node, dof)."""
     lines = materialize(numbered_lines(spark, path), "femap")
     where = blocks(lines)
-    f = F.transform(F.split("value", ","), F.trim)
+    f = F.transform(F.split("value", ","), lambda x: F.trim(x))
 
     def body(number: int) -> DataFrame:
         first, end = where.get(number, (0, 0))
