@@ -152,23 +152,34 @@ class Model:
             mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         return (mixed >> np.uint64(64 - ROWS.bit_length() + 1)).astype(np.int64)
 
-    def log_classes(self, rows: np.ndarray) -> np.ndarray:
-        """Natural log of the class probabilities, (n, CLASSES)."""
+    def exponents(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scores, their exponentials, the sums of those) of the classes, (n, CLASSES) and (n, 1)."""
         w = self.weights
         z = w[rows[0]]
         z += w[rows[1]]
         z += w[rows[2]]
         z += self.bias
-        z -= z.max(1, keepdims=True)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
-        return z
+        with np.errstate(over="ignore"):
+            e = np.exp(z)
+            total = e.sum(1, keepdims=True)
+        if not np.isfinite(total).all() or not total.all():  # scores beyond what a float's exponent holds
+            z -= z.max(1, keepdims=True)
+            e = np.exp(z)
+            total = e.sum(1, keepdims=True)
+        return z, e, total
+
+    def log_classes(self, rows: np.ndarray) -> np.ndarray:
+        """Natural log of the class probabilities, (n, CLASSES)."""
+        z, _, total = self.exponents(rows)
+        return z - np.log(total)
 
     def learn(self, ids: np.ndarray, first: np.ndarray, squares: np.ndarray, touched: np.ndarray) -> None:
         rows, cls = self.features(ids, first), self.cls_of[ids]
         for at in range(0, len(ids), BATCH):
             some = rows[:, at : at + BATCH]
             n = some.shape[1]
-            grad = np.exp(self.log_classes(some))
+            _, grad, total = self.exponents(some)
+            grad /= total
             grad[np.arange(n), cls[at : at + BATCH]] -= 1
             row, each, sums = sums_by_row(some.ravel().astype(np.uint16), grad)
             squares[row] += np.einsum("ij,ij->i", sums, sums)
@@ -180,8 +191,8 @@ class Model:
         rows, cls = self.features(ids, first), self.cls_of[ids]
         out = np.empty(len(ids))
         for at in range(0, len(ids), BATCH):
-            some = self.log_classes(rows[:, at : at + BATCH])
-            out[at : at + BATCH] = some[np.arange(len(some)), cls[at : at + BATCH]] / np.log(10)
+            z, _, total = self.exponents(rows[:, at : at + BATCH])
+            out[at : at + BATCH] = (z[np.arange(len(z)), cls[at : at + BATCH]] - np.log(total[:, 0])) / np.log(10)
         return out + np.where(ids >= 0, np.r_[self.within, 0][ids], 0)
 
 
@@ -231,7 +242,6 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         from pyspark import TaskContext
 
         own, nth = unpacked(held), TaskContext.get().partitionId() << 33
-        pairs = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int32())]))
         for big in stream:
             for batch in common.batches(big, 512):
                 ids, first, rare = own.encode(batch.column(2).to_pylist())
@@ -239,11 +249,13 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
                 add = lambda x: np.add.reduceat(x, first)
                 n = np.diff(np.r_[first, len(ids)])
                 sums = [add(np.where(hot, np.r_[self_, 0][ids], 0)) for self_ in (own.known.astype(np.int64), own.log_count)]
-                listed = [[{"word": w, "tf": c} for w, c in Counter(r).items()] for r in rare]
+                counted = [Counter(r) for r in rare]
+                ends = np.cumsum([0, *map(len, counted)]).astype(np.int32)
+                pair = pa.StructArray.from_arrays([pa.array([w for c in counted for w in c], pa.binary()), pa.array([k for c in counted for k in c.values()], pa.int32())], names=["word", "tf"])
                 row_ids = nth + np.arange(batch.num_rows)
                 nth += batch.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row_ids), batch.column(0), batch.column(1), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), pa.array(add(own.log10_tokens(ids, first))), pa.array([len(r) for r in rare], pa.int64()), pa.array(listed, pairs)],
+                    [pa.array(row_ids), batch.column(0), batch.column(1), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), pa.array(add(own.log10_tokens(ids, first))), pa.array([len(r) for r in rare], pa.int64()), pa.ListArray.from_arrays(ends, pair)],
                     names=[x.split()[0] for x in SCORED.split(", ")],
                 )
 
