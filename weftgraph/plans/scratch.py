@@ -25,6 +25,12 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return path
 
 
+def fewer_parts(df: DataFrame) -> DataFrame:
+    """df in an eighth of the session's shuffle partitions (8 at least): for tables of a few bytes a
+    row, whose files would else be many and tiny."""
+    return df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: the lineage is cut, the
     files outlive any executor, and later joins exchange them directly."""
