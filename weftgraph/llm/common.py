@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.plans.scratch import materialize, scratch_path  # noqa: F401
+from weftgraph.plans.scratch import fewer_parts, materialize, scratch_path  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -137,7 +137,7 @@ def write(pages: DataFrame, min_revisit: int = MIN_REVISIT, segment: int = SEGME
     own = own.withColumn("digest", F.sha2("payload", 256))
     large = F.octet_length("payload") >= min_revisit
     first = own.filter(large).groupBy("digest").agg(F.min("page_id").alias("first"))
-    first = common.materialize(first, "first-pages")
+    first = common.materialize(common.fewer_parts(first), "first-pages")
     found = own.join(first, "digest", "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
 
@@ -241,9 +241,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write(common.table(spark, sf_dir, "pages"))
     seen = F.when(F.col("record_type") == "response", F.sha2("payload", 256)).otherwise(F.col("payload_digest"))
     back = read(spark, path).select("page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), seen.alias("payload_digest"))
-    back = common.materialize(back, "read-back")
+    back = common.materialize(common.fewer_parts(back), "read-back")
     responses = back.filter("record_type = 'response'")
-    known = common.materialize(responses.groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.min("payload_bytes").alias("payload_bytes")), "responses")
+    known = responses.groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.min("payload_bytes").alias("payload_bytes"))
+    known = common.materialize(common.fewer_parts(known), "responses")
     revisits = back.filter("record_type = 'revisit'").drop("payload_bytes").join(known, ["refers_to", "payload_digest"], "left")
     return responses.unionByName(revisits).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
