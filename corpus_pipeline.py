@@ -1,10 +1,10 @@
 """A corpus-cleaning pipeline over ``documents``: each stage takes what its predecessor kept.
 
-Quality first (rejected documents go), then near duplicates (the document with the smallest doc_id
-of each group stays), benchmark passages (documents that hold one go), personal data (replaced by
+Quality first (rejected documents go), then near duplicates (one row of each group stays, the first
+with the smallest doc_id), benchmark passages (documents that hold one go), personal data (replaced by
 surrogates) and at last the packing of what is left into sequences. All but the last return the
-columns of documents. A document's doc_id is its key, as in the table: of rows that repeat a doc_id
-within one group all or none stay.
+columns of documents. Rows are told apart by a key of their own, so null and repeated doc_ids do no
+harm.
 """
 
 from __future__ import annotations

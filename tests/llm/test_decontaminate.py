@@ -85,3 +85,11 @@ def test_benchmark_in_blocks_and_empty(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in dc.matches(frame, bench).collect()} >= {(k, k) for k in range(9)}
     assert dc.matches(frame, bench.limit(0)).count() == 0
     assert dc.matches(frame.limit(0), bench).count() == 0
+
+
+def test_only_the_rows_with_an_item_go(spark):
+    item = "what is the name of the river that flows through the old town"
+    rows = [(None, f"x {item} y", 0), (None, "clean without an id", 1), (4, item, 2), (4, "clean with a repeated id", 3), (5, "clean", 4), (5, "clean", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    clean = dc.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert clean.columns == docs.columns and sorted(r.n for r in clean.collect()) == [1, 3, 4, 5]

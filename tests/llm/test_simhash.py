@@ -82,3 +82,14 @@ def test_fingerprints_and_edge_cases(spark):
     assert {r.component_id for r in got if r.doc_id in (0, 1, 2)} == {0}
     assert {r.component_id for r in got if r.doc_id in (5, None)} == {5}
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c, d = ("alpha beta gamma delta epsilon", "one two three four five six", "red green blue cyan pink", "some text that stands quite alone")
+    rows = [(None, a, 0), (1, a, 1), (None, d, 2), (2, b, 3), (2, b, 4), (1, c, 5), (3, c, 6), (1, "only here with this id", 7), (None, "x y z u v", 8), (None, "x y z u v", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = [r.n for r in kept.collect()]
+    assert {1, 2, 5, 7} <= set(got) and len({3, 4} & set(got)) == len({8, 9} & set(got)) == 1 and len(got) == 6
+    assert simhash.keep_first(docs.limit(0)).count() == 0

@@ -26,6 +26,21 @@ def crc_mod(key: Column | str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs, written, with a key of each row in ``_row``: ids may be null or repeated."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
+#: Rows that may be broadcast to be dropped; more of them are joined by a shuffle.
+FEW_ROWS = 1_000_000
+
+
+def without(own: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of a numbered table whose ``_row`` is not among the written ones."""
+    few = F.broadcast(rows) if rows.count() <= FEW_ROWS else rows
+    return own.join(few, "_row", "left_anti").drop("_row")
+
+
 #: Bytes of an Arrow batch that goes to a Python worker; Spark's own default is 64 MB.
 BATCH_BYTES = 8 << 20
 

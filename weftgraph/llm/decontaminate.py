@@ -178,20 +178,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     return best.select("doc_id", "item_id", "m.similarity", (-F.col("m.s")).alias("start"), "m.n_words")
 
 
-#: Ids that may be broadcast to drop documents; more of them are joined by a shuffle.
-FEW_IDS = 1_000_000
-
-
-def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not among the written ids; null ids compare as equal."""
-    ids = common.materialize(ids.select(F.col("doc_id").alias("_id")).distinct(), "ids")
-    few = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
-    return docs.join(few, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, unchanged, that hold no item of the benchmark."""
-    return drop_ids(docs, matches(docs, benchmark))
+    own = common.numbered(docs)
+    found = matches(own.select(F.col("_row").alias("doc_id"), "text"), benchmark)
+    return common.without(own, common.materialize(found.select(F.col("doc_id").alias("_row")).distinct(), "leaks"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,16 +57,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, row: Column | None = None) -> DataFrame:
+    """(doc_id, fp) of every row, and its key if there is one."""
+    keys = [F.col("doc_id").cast("long"), *([] if row is None else [row.alias("_row")])]
+    names = ["doc_id", "_row"][: len(keys)]
 
     def run(stream):
         for big in stream:
             for batch in common.batches(big):
-                found = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+                found = [fingerprint(t, shingle) for t in batch.column(len(names)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], names=[*names, "fp"])
 
-    return common.narrow(docs).select(F.col("doc_id").cast("long"), common.text_bytes("text").alias("t")).mapInArrow(run, "doc_id long, fp long")
+    return common.narrow(docs).select(*keys, common.text_bytes("text").alias("t")).mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 def gray_rank(fp: Column) -> Column:
@@ -190,12 +192,17 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(run, "src long, dst long")
 
 
-def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) for a written table of (doc_id, fp)."""
-    nodes = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
+def rooted(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """nodes, (fp, least) with a row for each fp, and the ``root`` of its group; written."""
+    nodes = common.materialize(nodes, "prints")
     labels = common.materialize(component_labels(links(nodes.select("fp"), radius)), "labels")
     named = nodes.join(labels, nodes.fp == labels.id, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    named = common.materialize(named, "roots")
+    return common.materialize(named, "roots")
+
+
+def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fp, component_id) for a written table of (doc_id, fp)."""
+    named = rooted(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), radius)
     least = common.materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     classes = common.materialize(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "classes")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
@@ -206,17 +213,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return groups(common.materialize(fingerprints(docs, shingle), "fingerprints"), radius)
 
 
-#: Ids that may be broadcast to drop documents; more of them are joined by a shuffle.
-FEW_IDS = 1_000_000
-
-
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, unchanged, whose doc_id is the smallest of their group, or null in a group
-    of null ids only."""
-    found = near_duplicates(docs, shingle, radius)
-    drop = common.materialize(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "copies")
-    few = F.broadcast(drop) if drop.count() <= FEW_IDS else drop
-    return docs.join(few, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    """One row of each group, unchanged: the first with the smallest doc_id, a null id being last."""
+    own = common.numbered(docs)
+    prints = common.materialize(fingerprints(own, shingle, F.col("_row")), "fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("least")
+    first = rooted(prints.groupBy("fp").agg(least), radius).groupBy("root").agg(F.min("least").alias("least")).select("least._row")
+    return common.without(own, common.materialize(prints.select("_row").join(first, "_row", "left_anti"), "copies"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
