@@ -79,3 +79,25 @@ def test_attempts_and_both_paths(spark, monkeypatch):
     assert got[51] is None and got[52] == "" and got[53] == texts[53] and clash not in " ".join(t or "" for t in got.values())
     assert len({e[3] for t in got.values() for e in pii.detect(t or "")}) == len({e[3] for t in texts for e in pii.detect(t or "")})
     assert pii.anonymise(docs.limit(0)).count() == 0
+
+
+def test_numbers_beside_one_another():
+    card, other = "4111 1111 1111 1111", "5555555555554444"
+    for t, want in {
+        f"{card} 123": [("CARD", card)], f"{other} 25 apples": [("CARD", other)], f"12 {other}": [("CARD", other)], f"1234 567 890 {card} 99 {other}": [("CARD", card), ("CARD", other)],
+        "212-555-0199 123": [("PHONE", "212-555-0199")], f"212-555-0199 {card}": [("PHONE", "212-555-0199"), ("CARD", card)], "2223003122003222": [("CARD", "2223003122003222")], "2223003122003223 1": [],
+        f"+49 30 1234567 {card}": [("PHONE", "+49 30 1234567"), ("CARD", card)], "9 1 2 3 " * 2000: [],
+    }.items():
+        assert kinds(t) == want, t
+        new, spans = pii.replace(t, {})
+        assert len(new) == len(t) and all(v not in new for _, v in want)
+        assert [k for k, _ in kinds(new)] == [k for k, _ in want]
+
+
+def test_international_numbers():
+    for t in ("+49 30 1234567", "+44 20 7946 0958", "+33 1 23 45 67 89", "+33.1.23.45.67.89", "+4930123456", "+1 212-555-0199", "+358 9 123 4567"):
+        assert kinds(f"call {t}, or") == [("PHONE", t)], t
+        new = pii.replace(f"call {t}, or", {})[0][5:-4]
+        assert new != t and new[:3].strip() == t[:3].strip() and [c.isdigit() for c in new] == [c.isdigit() for c in t]
+    assert kinds("+12345 +2020-01-02 +1.2345678 C++20 x+1234567890") == []
+    assert kinds("+4111 1111 1111 1111") == [("CARD", "4111 1111 1111 1111")]

@@ -1,7 +1,7 @@
 """Personal data: detected entities get keyed surrogates of their own kind and format.
 
-Found: e-mail addresses, international and ten-digit phone numbers, payment cards (Luhn and issuer
-digit), US social security numbers, IBANs (mod 97), IPv4 addresses, quoted credentials after
+Found: e-mail addresses, phone numbers of ten digits or of 7 to 15 after a plus in any grouping,
+payment cards (Luhn and issuer digits; beside other numbers as well), US social security numbers, IBANs (mod 97), IPv4 addresses, quoted credentials after
 token, secret, password or key, and persons after a form of address.
 
 Surrogates. Numbers, addresses and credentials are permuted among the strings of the same shape: a
@@ -41,14 +41,22 @@ FEW, ROUNDS, ATTEMPTS = 1_000_000, 8, 64
 _EMAIL = re.compile(r"[^\W_][\w.+-]{0,63}@(?:[^\W_](?:[\w-]{0,61}[^\W_])?\.){1,8}[^\W\d_]{2,24}(?![\w-])")
 _NUMBER = re.compile(
     r"""(?<![\w.])(?:
-    (?P<IP>(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3})(?!\.?\d)
-    |(?P<SSN>\d{3}-\d{2}-\d{4})(?![\d-])
-    |(?P<CARD>\d(?:[ -]?\d){12,18})(?![\d-])
-    |(?P<PHONE>(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4})(?!\d)
-    )(?!\w)""",
+    (?P<IP>(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3})(?!\.?\d|\w)
+    |(?P<SSN>\d{3}-\d{2}-\d{4})(?![\w-])
+    |(?P<CARD>\d(?=(?:[ -]?\d){12}))
+    |(?P<PHONE>(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4})(?!\w)
+    )""",
     re.X,
 )
+_LOCAL = re.compile(r"\d{3}[ .-]\d{3}[ .-]\d{4}(?!\w)")
+_RUN = re.compile(r"\d(?:[ -]?\d){12,18}")
+_CARD = re.compile(r"[3-6]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720")
+#: Digits of a card's groups as they are printed.
+_PRINTED = re.compile(r"1[3-9]|4 4 4 4(?: [123])?|4 4 4 1|4 [456] [456]")
 _PLUS = re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{3}\)[ ]?|\d{3}[ .-]?)\d{3}[ .-]?\d{4}(?!\d)")
+_E164 = re.compile(r"(?<![\w+])\+(?!\d{4}-\d\d-\d\d(?!\d)|\d+\.\d+(?![ .()/-]*\d))[1-9](?:[ .()/-]{0,3}\d){6,14}")
+#: Country codes of one and of two digits; the others have three.
+_COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 _PAREN = re.compile(r"(?<![\w+(])\(\d{3}\)[ ]?\d{3}[ .-]\d{4}(?!\d)")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)")
 _SECRET = re.compile(r"""(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?\s*[=:]\s*["']([^"'\s]{8,256})["']""")
@@ -84,19 +92,79 @@ def _digits(text: str) -> str:
     return re.sub(r"\D", "", text)
 
 
+def _national(found: str) -> str:
+    """The last ten digits of a phone number, at most those after the country code."""
+    digits = _digits(found)
+    return digits[_COUNTRY.match(digits).end() if found[0] == "+" else 0 :][-10:]
+
+
+def _card(text: str, start: int, printed: bool) -> int:
+    """The end of the longest card at start, grouped as cards are printed or else in any way; 0 if none."""
+    if not (run := _RUN.match(text, start)):
+        return 0
+    for end in range(run.end(), start + 12, -1):
+        if not text[end - 1].isdigit() or (after := text[end : end + 1]).isalnum() or after == "_":
+            continue
+        digits = _digits(part := text[start:end])
+        if len(digits) < 13:
+            break
+        if luhn(digits) or not _CARD.match(digits) or digits[0] == "2" and len(digits) != 16:
+            continue
+        if not printed or _PRINTED.fullmatch(" ".join(str(len(g)) for g in re.split("[ -]", part))):
+            return end
+    return 0
+
+
+def _numbers(text: str) -> list[tuple[int, int, str, str]]:
+    """IP, SSN, CARD and PHONE. Where several numbers stand in a row, every one of them may start or
+    end a card; a printed card goes before what would run into it."""
+    found, at, cards = [], 0, []
+
+    def clear(start: int, end: int) -> bool:
+        return not any(_card(text, k, True) for k in range(start + 1, end) if text[k].isdigit() and text[k - 1] in " -")
+
+    while m := _NUMBER.search(text, at):
+        start, end, kind = m.start(), m.end(), m.lastgroup
+        if kind == "CARD":
+            plus = text[start - 1 : start] == "+"
+            end = _card(text, start, True)
+            if end and not (plus and len(_digits(text[start:end])) < 16):
+                cards.append(start)
+            elif (p := _LOCAL.match(text, start)) and clear(start, p.end()):
+                kind, end = "PHONE", p.end()
+            elif (end := 0 if plus else _card(text, start, False)) and not clear(start, end):
+                end = 0
+        if not end:
+            at = start + 1  # the next number of the row
+            continue
+        own = text[start:end]
+        found.append((start, end, kind, own if kind == "IP" else _national(own) if kind == "PHONE" else _digits(own)))
+        at = end
+    for m in _E164.finditer(text) if "+" in text else ():
+        start, end = m.span()
+        stop = next((c for c in cards if start < c < end), end)  # a card that follows is no part of it
+        best = 0
+        for k in range(start + 1, min(end, stop)):
+            if not text[k].isdigit() or (after := text[k + 1 : k + 2]).isalnum() or after == "_":
+                continue
+            n = len(_digits(text[start : k + 1]))
+            if n >= 7:
+                best = k + 1
+                if re.search(r"\d{6}$", text[start:best]) and after == " ":
+                    break  # a long last group: what follows is another number
+        if best and not _PLUS.match(text, start):
+            found.append((start, best, "PHONE", _national(text[start:best])))
+    found += [(m.start(), m.end(), "PHONE", _national(m[0])) for m in _PLUS.finditer(text)] if "+" in text else []
+    return found
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical form) of the entities, in order and apart. Names come as one
     entity for each part: GIVEN_M, GIVEN_F, GIVEN_N, SURNAME."""
     found: list[tuple[int, int, str, str]] = []
     if "@" in text:
         found += [(m.start(), m.end(), "EMAIL", _lower(m[0])) for m in _EMAIL.finditer(text)]
-    for m in _NUMBER.finditer(text):
-        kind, digits = m.lastgroup, _digits(m[0])
-        if kind == "CARD" and (digits[0] not in "3456" or luhn(digits)):
-            continue
-        found.append((m.start(), m.end(), kind, m[0] if kind == "IP" else digits[-10:] if kind == "PHONE" else digits))
-    if "+" in text:
-        found += [(m.start(), m.end(), "PHONE", _digits(m[0])[-10:]) for m in _PLUS.finditer(text)]
+    found += _numbers(text)
     if "(" in text:
         found += [(m.start(), m.end(), "PHONE", _digits(m[0])[-10:]) for m in _PAREN.finditer(text)]
     found += [(m.start(1), m.end(1), "SECRET", _lower(m[1])) for m in _SECRET.finditer(text)]
@@ -201,7 +269,8 @@ def surrogate(kind: str, canonical: str, attempt: int = 0, key: bytes = KEY) ->
     if kind[0] == "G" or kind == "SURNAME":
         return _syllables(canonical, kind, key, attempt)
     if kind == "CARD":
-        body = canonical[0] + permuted(canonical[1:-1], key, f"CARD{canonical[0]}", attempt)
+        issuer = canonical[: 4 if canonical[0] == "2" else 1]
+        body = issuer + permuted(canonical[len(issuer) : -1], key, f"CARD{issuer}", attempt)
         return body + str(-luhn(body + "0") % 10)
     if kind == "IP":
         x = 0
