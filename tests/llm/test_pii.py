@@ -101,3 +101,13 @@ def test_international_numbers():
         assert new != t and new[:3].strip() == t[:3].strip() and [c.isdigit() for c in new] == [c.isdigit() for c in t]
     assert kinds("+12345 +2020-01-02 +1.2345678 C++20 x+1234567890") == []
     assert kinds("+4111 1111 1111 1111") == [("CARD", "4111 1111 1111 1111")]
+
+
+def test_more_given_names_than_two_syllables_make(spark):
+    names = [pii._syllables(str(k), "SURNAME", b"names", 0) for k in range(9000)]
+    names = sorted(set(names))
+    assert len(names) > len(pii._LATIN) ** 2
+    own = spark.createDataFrame([("GIVEN_N", n) for n in names], "type string, canonical string")
+    attempts = {r.canonical: r.attempt for r in pii.other_attempts(own).collect()}
+    new = {pii.surrogate("GIVEN_N", n, attempts.get(n, 0)) for n in names}
+    assert len(new) == len(names) and not new & set(names) and max(attempts.values()) < 8

@@ -257,7 +257,7 @@ def _syllables(name: str, kind: str, key: bytes, attempt: int) -> str:
     else:
         return permuted(name, key, kind, attempt)
     x, out = _number(key, kind, name, attempt), ""
-    for _ in range(2 if kind[0] == "G" else 3):
+    for _ in range((2 if kind[0] == "G" else 3) + min(attempt, 32)):  # the space grows beyond any number of names
         x, k = divmod(x, len(parts))
         out += parts[k]
     return out + ends[kind]
