@@ -1,4 +1,6 @@
 import random
+import re
+import unicodedata
 
 import pytest
 
@@ -42,25 +44,75 @@ def test_surrogates_keep_type_and_format():
     assert pii.replace("nothing here", {}) == ("nothing here", [])
 
 
-def test_collisions_are_resolved(spark, monkeypatch):
-    monkeypatch.setattr(pii, "_LATIN", ["ba", "be", "bi"])  # 27 surnames only
-    names = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu") for b in ("rr", "ss", "tt", "vv", "ww")]
-    own = spark.createDataFrame([("SURNAME", n) for n in names] + [("SURNAME", "bababar")], "type string, canonical string")
-    new = {n: pii.surrogate("SURNAME", n, a) for n, a in [(n, 0) for n in [*names, "bababar"]]}
-    assert len(set(new.values())) < len(new)
-
-    class Local:  # the workers would not see the patched syllables
-        pass
-
-    rows = {r.canonical: 0 for r in own.collect()}
-    for _ in range(200):
-        made = {n: pii.surrogate("SURNAME", n, a) for n, a in rows.items()}
-        bad = [n for n, s in made.items() if s in rows or any(made[m] == s and (rows[m], m) < (rows[n], n) for m in made)]
-        if not bad:
-            break
-        for n in bad:
-            rows[n] += 1
-    assert not bad
+def resolved(spark, own):
+    """The attempts of all, with what must hold checked: distinct surrogates, none of them an entity."""
+    frame = spark.createDataFrame(own, "type string, canonical string")
+    attempts = {(r.type, r.canonical): r.attempt for r in pii.other_attempts(frame).collect()}
+    new = {(k, c): pii.surrogate(k, c, attempts.get((k, c), 0)) for k, c in own}
+    assert len({(k, s) for (k, _), s in new.items()}) == len(set(own))
+    assert not {(k, s) for (k, _), s in new.items()} & set(own)
+    return attempts
+
+
+@pytest.mark.parametrize("names", [["Արամ", "Անի", "Ա"], ["สมชาย", "สม", "ก"], ["राम", "सीता", "र"], ["王", "李", "王小明"], ["გიორგი", "ნ"], ["ⴰⵎⵏ"], ["ᚠᚢ"]])
+def test_names_of_any_script(spark, names):
+    resolved(spark, [("SURNAME", n) for n in names] + [("GIVEN_M", n) for n in names])
+    for n in names:
+        text, spans = pii.replace(f"Dr. {n} said", {})
+        (s,) = spans
+        new = text[s["start"] : s["end"]]
+        assert text == f"Dr. {new} said" and new and n not in text
+        assert [unicodedata.category(c) for c in new] == [unicodedata.category(c) for c in n] or len(n) == 1
+
+
+def test_many_names_of_few_syllables(spark):
+    made = sorted({pii._spoken(pii._number(b"names", k), pii._LATIN, 3) + "x" for k in range(25_000)})[:20_000]
+    assert len(made) == 20_000 > 3 * len(pii._LATIN) ** 2
+    attempts = resolved(spark, [("GIVEN_M", n) for n in made])
+    assert max(attempts.values()) < 10
+
+
+def test_small_rooms(spark):
+    few = [("SURNAME", chr(0x561 + k)) for k in range(38)] + [("EMAIL", f"{c}@b.org") for c in "abcdefghijklmnopqrstuvwxyz"] + [("SECRET", f"!!!!!!!{k}") for k in range(10)] + [("SECRET", "!" * n) for n in (8, 9)]
+    resolved(spark, few)
+    numbers = [f"{k:04d}" for k in range(10_000)]  # all there are: a permutation without fixed points
+    frame = spark.createDataFrame([("PHONE", n) for n in numbers], "type string, canonical string")
+    assert pii.other_attempts(frame).count() == 0
+    new = [pii.surrogate("PHONE", n) for n in numbers]
+    assert sorted(new) == numbers and all(a != b for a, b in zip(new, numbers, strict=True))
+
+
+def test_whole_operator_by_brute_force(spark):
+    """Texts built from known entities: what comes out is the same text with one surrogate for each."""
+    rnd = random.Random(11)
+    own = {
+        "EMAIL": [f"{u}{k}@{d}" for u in ("ann", "Bob.x", "c-d") for k in range(4) for d in ("firm.com", "Other.org")],
+        "PHONE": [f"{rnd.randint(200, 999)}-{rnd.randint(200, 999)}-{k:04d}" for k in range(12)],
+        "SSN": [f"{rnd.randint(100, 665)}-{rnd.randint(10, 99)}-{k:04d}" for k in range(12)],
+        "IP": [f"10.{k}.{rnd.randint(0, 255)}.7" for k in range(12)],
+        "NAME": ["Mr. Adam Stone", "Mr. Stone", "Mrs. Eve Stone", "Dr. Արամ", "Frau Müller", "Dr. สมชาย", "господин Петров"],
+    }
+    shapes = {"EMAIL": r"[\w.+-]+@\w+\.(?:com|org)", "PHONE": r"\d{3}-\d{3}-\d{4}", "SSN": r"\d{3}-\d\d-\d{4}", "IP": r"\d+(?:\.\d+){3}", "NAME": r"(?:Mr\.|Mrs\.|Dr\.|Frau|господин) .+"}
+    docs, parts = [], []
+    for d in range(300):
+        picked = [(k := rnd.choice(list(own)), rnd.choice(own[k])) for _ in range(rnd.randint(0, 6))]
+        parts.append(picked)
+        docs.append((d, "".join(f"[{rnd.choice(['x', 'ü', '12'])}] {e} | " for _, e in picked), "keep"))
+    found = {r.doc_id: r for r in pii.anonymise(spark.createDataFrame(docs, "doc_id long, text string, type string")).collect()}
+    to: dict = {}
+    for (d, text, _), picked in zip(docs, parts, strict=True):
+        got = found[d].text
+        plain = re.split("|".join(re.escape(f"] {e} | ") for _, e in picked), text) if picked else [text]
+        new = re.fullmatch(r"\] (.*) \| ".join(map(re.escape, plain)), got).groups() if picked else ()
+        assert found[d].type == "keep" and (picked or got == text)
+        for (k, e), s in zip(picked, new, strict=True):
+            assert re.fullmatch(shapes[k], s), (e, s)
+            assert to.setdefault((k, e.lower()), s.lower()) == s.lower()
+    assert len(set(to.values())) == len(to) and not {(k, s) for (k, _), s in to.items()} & set(to)
+    mails = {e: s for (k, e), s in to.items() if k == "EMAIL"}
+    assert len({(e.split("@")[1], s.split("@")[1]) for e, s in mails.items()}) == 2
+    surname = {e: s.split()[-1] for (k, e), s in to.items() if k == "NAME"}
+    assert surname["mr. adam stone"] == surname["mr. stone"] == surname["mrs. eve stone"]
 
 
 def test_attempts_and_both_paths(spark, monkeypatch):
@@ -101,13 +153,3 @@ def test_international_numbers():
         assert new != t and new[:3].strip() == t[:3].strip() and [c.isdigit() for c in new] == [c.isdigit() for c in t]
     assert kinds("+12345 +2020-01-02 +1.2345678 C++20 x+1234567890") == []
     assert kinds("+4111 1111 1111 1111") == [("CARD", "4111 1111 1111 1111")]
-
-
-def test_more_given_names_than_two_syllables_make(spark):
-    names = [pii._syllables(str(k), "SURNAME", b"names", 0) for k in range(9000)]
-    names = sorted(set(names))
-    assert len(names) > len(pii._LATIN) ** 2
-    own = spark.createDataFrame([("GIVEN_N", n) for n in names], "type string, canonical string")
-    attempts = {r.canonical: r.attempt for r in pii.other_attempts(own).collect()}
-    new = {pii.surrogate("GIVEN_N", n, attempts.get(n, 0)) for n in names}
-    assert len(new) == len(names) and not new & set(names) and max(attempts.values()) < 8

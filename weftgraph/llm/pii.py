@@ -7,14 +7,20 @@ token, secret, password or key, and persons after a form of address.
 Surrogates. Numbers, addresses and credentials are permuted among the strings of the same shape: a
 keyed Feistel permutation P on the mixed-radix number of their signs, x -> P^-1(P(x) + step of the attempt).
 That has no fixed point and, for one attempt, no two entities with one surrogate; separators, case,
-script, top-level domain, country, issuer digit and check digits stay right. Names are built from
-syllables of the name's script with an ending of its gender; given names and surnames are mapped
-each by itself, so "Mr. John Smith" and "Mr. Smith" stay one person.
+script, top-level domain, country, issuer digit and check digits stay right. An address's user and
+domain are permuted each by itself, so colleagues keep a common domain. Names are built from
+syllables with an ending of their gender (Latin and Cyrillic) or permuted among the letters of their
+script (any other); given names and surnames are mapped each by itself, so "Mr. John Smith" and "Mr.
+Smith" stay one person.
 
 Collision checks run over the distinct entities of all texts: of entities with equal surrogates all
 but the first, and any whose surrogate is itself an entity of the texts, take the next attempt,
-until there are none. Entities with another attempt than 0 are sent to the workers if there are
-``FEW`` at most, else joined by document.
+until there are none. There is no limit of attempts: names, addresses and credentials grow by a
+syllable or sign with each, so their room exceeds any number of entities. Numbers of a fixed length
+can't grow; where the texts hold more than half of all numbers of a shape, all of that shape stay at
+attempt 0, which is a permutation and keeps them distinct, though a surrogate may then be another's
+number. Entities with another attempt than 0 are sent to the workers if there are ``FEW`` at most,
+else joined by document.
 
 Edge cases: null texts stay null; texts without entities are unchanged; repeated rows and null ids
 are rows like any; overlaps go to the earlier, then longer, entity; an empty table gives no rows;
@@ -25,6 +31,7 @@ from __future__ import annotations
 
 import hmac
 import re
+import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
@@ -36,7 +43,7 @@ from . import common
 
 #: For tests and examples; production passes a secret of its own.
 KEY = b"weftgraph example key"
-FEW, ROUNDS, ATTEMPTS = 1_000_000, 8, 64
+FEW, ROUNDS = 200_000, 8
 
 _EMAIL = re.compile(r"[^\W_][\w.+-]{0,63}@(?:[^\W_](?:[\w-]{0,61}[^\W_])?\.){1,8}[^\W\d_]{2,24}(?![\w-])")
 _NUMBER = re.compile(
@@ -63,7 +70,10 @@ _SECRET = re.compile(r"""(?i)\b(?:token|secret|password|passwd|api[_-]?key|acces
 #: Forms of address and the gender they tell: male, female, none.
 _TITLES = {"Mr": "M", "Herr": "M", "Señor": "M", "Sr": "M", "Monsieur": "M", "Mrs": "F", "Ms": "F", "Miss": "F", "Frau": "F", "Señora": "F", "Sra": "F", "Mme": "F", "Madame": "F", "Dr": "N", "Prof": "N", "господин": "M", "госпожа": "F"}
 _TITLE = re.compile(r"\b(" + "|".join(sorted(_TITLES, key=len, reverse=True)) + r")\b\.?(?=[ ]+[^\W\d_])")
-_NAME = re.compile(r"[ ]+([^\W\d_]+(?:[-'’][^\W\d_]+)*)")
+#: Vowel signs and accents that stand in names, as the inside of a class.
+_MARKS = "".join(c for c in map(chr, range(0x300, 0x3100)) if unicodedata.category(c) in ("Mn", "Mc"))
+_WORD = rf"[^\W\d_](?:[^\W\d_]|[{_MARKS}])*"
+_NAME = re.compile(rf"[ ]+({_WORD}(?:[-'’]{_WORD})*)")
 _DIGITS = [str(d) for d in range(10)]
 #: Letters that are exchanged for one another, by script, as first and last code point.
 _SCRIPTS = [(0x61, 0x7A), (0xDF, 0xF6), (0xF8, 0xFF), (0x3B1, 0x3C1), (0x3C3, 0x3C9), (0x430, 0x44F), (0x5D0, 0x5EA), (0x627, 0x63A), (0x641, 0x64A), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3)]
@@ -174,8 +184,8 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     for m in _TITLE.finditer(text):
         parts: list[re.Match] = []
         while len(parts) < 3 and (p := _NAME.match(text, parts[-1].end() if parts else m.end())):
-            cased = p[1][0].lower() != p[1][0].upper()
-            if cased and not p[1][0].isupper() or parts and not cased or p[1] in _TITLES:
+            small, capital = p[1][0].title() != p[1][0], p[1][0].isupper()
+            if small or parts and not capital or p[1] in _TITLES:  # scripts without capitals: one word
                 break
             parts.append(p)
         for p in parts:
@@ -219,27 +229,55 @@ def moved(x: int, size: int, key: bytes, what: str, attempt: int) -> int:
     return _feistel((_feistel(x, size, key, what, False) + step) % size, size, key, what, True)
 
 
+@lru_cache(maxsize=4096)
+def _peers(c: str) -> str:
+    """Letters or digits of c's script and case that stand near it, in order."""
+    kind, script, first = unicodedata.category(c), unicodedata.name(c, "").split(" ")[0], ord(c) & ~127
+    near = (x for x in map(chr, range(first, first + 128)) if unicodedata.category(x) == kind and _upper(x).lower() == x.lower())
+    return "".join(x for x in near if _lower(x) == x and unicodedata.name(x, "").split(" ")[0] == script)
+
+
+def _upper(c: str) -> str:
+    """The capital, where that is one sign and leads back."""
+    return u if len(u := c.upper()) == 1 and u.lower() == c else c
+
+
 def _alphabet(c: str, hexadecimal: bool) -> tuple[int, int] | None:
     """(place, number) of a sign among those it may be exchanged for."""
     if c in "0123456789" or hexadecimal and c in "abcdef":
         return (int(c, 16), 16) if hexadecimal else (int(c), 10)
-    return next(((ord(c) - a, b - a + 1) for a, b in _SCRIPTS if a <= ord(c) <= b), None)
+    if (found := next(((ord(c) - a, b - a + 1) for a, b in _SCRIPTS if a <= ord(c) <= b), None)) or not c.isalnum():
+        return found
+    near = _peers(c)
+    return (near.index(c), len(near)) if c in near and len(near) > 1 else None
 
 
 def _sign(place: int, c: str, hexadecimal: bool) -> str:
     if c in "0123456789" or hexadecimal and c in "abcdef":
         return "0123456789abcdef"[place]
-    return chr(next(a for a, b in _SCRIPTS if a <= ord(c) <= b) + place)
+    first = next((a for a, b in _SCRIPTS if a <= ord(c) <= b), None)
+    return _peers(c)[place] if first is None else chr(first + place)
 
 
-def permuted(text: str, key: bytes, what: str, attempt: int) -> str:
-    """Another string of the same shape: digits for digits, letters for letters of the script."""
+def shaped(text: str, what: str) -> tuple[list, int, int, str]:
+    """(place and number of each sign, number of the text among those of its shape, how many there
+    are, the shape)."""
     hexadecimal = what == "SECRET" and re.fullmatch("[0-9a-f]+", text) is not None
     places = [_alphabet(c, hexadecimal) for c in text]
     x, size, shape = 0, 1, "".join("#" if p and p[1] in (10, 16) else c if p is None else chr(0xE000 + p[1] % 4096) for p, c in zip(places, text, strict=True))
     for p in places:
         if p:
             x, size = x * p[1] + p[0], size * p[1]
+    return places, x, size, shape
+
+
+def permuted(text: str, key: bytes, what: str, attempt: int) -> str:
+    """Another string of the same shape: digits for digits, letters for letters of the script. A text
+    with nothing to exchange becomes syllables."""
+    places, x, size, shape = shaped(text, what)
+    hexadecimal = what == "SECRET" and re.fullmatch("[0-9a-f]+", text) is not None
+    if size < 2:
+        return _spoken(_number(key, what, text, attempt), _LATIN, max(4, len(text)) + attempt)
     x = moved(x, size, key, f"{what}/{shape}", attempt)
     out = list(text)
     for k in range(len(text) - 1, -1, -1):
@@ -255,12 +293,17 @@ def _syllables(name: str, kind: str, key: bytes, attempt: int) -> str:
     elif all(ord(c) < 0x250 or not c.isalpha() for c in name):
         parts, ends = _LATIN, {"GIVEN_M": "n", "GIVEN_F": "na", "GIVEN_N": "", "SURNAME": "r"}
     else:
-        return permuted(name, key, kind, attempt)
-    x, out = _number(key, kind, name, attempt), ""
-    for _ in range((2 if kind[0] == "G" else 3) + min(attempt, 32)):  # the space grows beyond any number of names
+        return permuted(name + next((c for c in reversed(name) if _alphabet(c, False)), "") * attempt, key, kind, attempt)
+    return _spoken(_number(key, kind, name, attempt), parts, (2 if kind[0] == "G" else 3) + attempt) + ends[kind]
+
+
+def _spoken(x: int, parts: list[str], n: int) -> str:
+    """n syllables; x has 256 bits, which tell 40 apart."""
+    out = ""
+    for _ in range(min(n, 40)):
         x, k = divmod(x, len(parts))
         out += parts[k]
-    return out + ends[kind]
+    return out
 
 
 @lru_cache(maxsize=20_000)
@@ -282,9 +325,26 @@ def surrogate(kind: str, canonical: str, attempt: int = 0, key: bytes = KEY) ->
         rest = permuted(canonical[4:].lower(), key, f"IBAN{canonical[:2]}", attempt).upper()
         return f"{canonical[:2]}{98 - _mod97(canonical[:2] + '00' + rest):02d}{rest}"
     if kind == "EMAIL":
-        stem, dot, tld = canonical.rpartition(".")
-        return permuted(stem, key, f"EMAIL{tld}", attempt) + dot + tld
-    return permuted(canonical, key, kind, attempt)
+        user, _, domain = canonical.partition("@")
+        stem, dot, tld = domain.rpartition(".")
+        return permuted(user + "a" * attempt, key, "EMAIL", attempt) + "@" + permuted(stem, key, f"DOMAIN{tld}", 0) + dot + tld
+    return permuted(canonical + "a" * attempt * (kind == "SECRET"), key, kind, attempt)
+
+
+def room(kind: str, canonical: str) -> tuple[str, int]:
+    """Shape and number (2 ** 62 at most) of the surrogates an entity of a fixed length may have;
+    ("", 0) for those that grow."""
+    if kind == "CARD":
+        issuer = canonical[: 4 if canonical[0] == "2" else 1]
+        return f"{issuer}/{len(canonical)}", 10 ** (len(canonical) - len(issuer) - 1)
+    if kind == "IP":
+        return "", 1 << 32
+    if kind in ("SSN", "PHONE"):
+        return str(len(canonical)), 10 ** len(canonical)
+    if kind == "IBAN":
+        _, _, size, shape = shaped(canonical[4:].lower(), kind)
+        return canonical[:2] + shape, min(size, 1 << 62)
+    return "", 0
 
 
 def dressed(found: str, kind: str, new: str) -> str:
@@ -298,9 +358,9 @@ def dressed(found: str, kind: str, new: str) -> str:
     if kind[0] == "G" or kind == "SURNAME":
         if kind == "SURNAME" and new.endswith("ов") and _lower(found).endswith("ва"):
             new += "а"
-        return new.upper() if found.isupper() and len(found) > 1 else new[:1].upper() + new[1:] if found[:1].isupper() else new
+        return "".join(map(_upper, new)) if found.isupper() and len(found) > 1 else _upper(new[:1]) + new[1:] if found[:1].isupper() else new
     if len(new) == len(found):
-        return "".join(n.upper() if f.isupper() else n for f, n in zip(found, new, strict=True))
+        return "".join(_upper(n) if f.isupper() else n for f, n in zip(found, new, strict=True))
     return new
 
 
@@ -333,24 +393,39 @@ def entities(docs: DataFrame) -> DataFrame:
 
 def other_attempts(own: DataFrame, key: bytes = KEY) -> DataFrame:
     """(type, canonical, attempt) of the entities whose attempt is not 0, written: with them no two
-    entities of a type have one surrogate, and none has a surrogate that is an entity."""
+    entities of a type have one surrogate, and none has a surrogate that is an entity (but for the
+    shapes of which the texts hold over half)."""
+    kinds = [("type", pa.string()), ("canonical", pa.string()), ("attempt", pa.int32()), ("free", pa.bool_()), ("surrogate", pa.string())]
 
     def run(stream):
         for batch in stream:
             new = [surrogate(k, c, a, key) for k, c, a in zip(*(x.to_pylist() for x in batch.columns[:3]), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(new, pa.string())], names=["type", "canonical", "attempt", "surrogate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(new, pa.string())], names=[k for k, _ in kinds])
+
+    def measure(stream):
+        for batch in stream:
+            rooms = [room(k, c) for k, c in zip(*(x.to_pylist() for x in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[k] for r in rooms], t) for k, t in enumerate((pa.string(), pa.int64())))], names=["type", "canonical", "shape", "room"])
 
+    fixed = common.materialize(own.filter(F.col("type").isin("CARD", "IP", "SSN", "PHONE", "IBAN")).select("type", "canonical").mapInArrow(measure, "type string, canonical string, shape string, room long"), "rooms")
+    crowded = common.materialize(fixed.groupBy("type", "shape", "room").agg(F.count("*").alias("n")).filter("2 * n > room").select("type", "shape"), "crowded")
+    free = F.lit(False)
     state = own.select("type", "canonical", F.lit(0).alias("attempt"))
+    if crowded.isEmpty():
+        state = state.withColumn("free", free)
+    else:
+        full = fixed.join(crowded, ["type", "shape"]).select("type", "canonical", F.lit(True).alias("free"))
+        state = state.join(full, ["type", "canonical"], "left").select("type", "canonical", "attempt", F.coalesce("free", free).alias("free"))
     real = own.select("type", F.col("canonical").alias("surrogate"), F.lit(True).alias("taken"))
-    for _ in range(ATTEMPTS):
-        made = common.materialize(state.mapInArrow(run, "type string, canonical string, attempt int, surrogate string"), "surrogates")
-        first = common.materialize(made.groupBy("type", "surrogate").agg(F.min(F.struct("attempt", "canonical")).alias("first"), F.count("*").alias("n")).join(real, ["type", "surrogate"], "left").filter("n > 1 OR taken").select("type", "surrogate", "first.canonical", "taken"), "collisions")
+    while True:
+        made = common.materialize(state.mapInArrow(run, "type string, canonical string, attempt int, free boolean, surrogate string"), "surrogates")
+        held = made.filter("NOT free").groupBy("type", "surrogate").agg(F.min(F.struct("attempt", "canonical")).alias("first"), F.count("*").alias("n"))
+        first = common.materialize(held.join(real, ["type", "surrogate"], "left").filter("n > 1 OR taken").select("type", "surrogate", "first.canonical", "taken"), "collisions")
         if first.isEmpty():
             return made.filter("attempt > 0").select("type", "canonical", "attempt")
         clash = made.join(first.withColumnRenamed("canonical", "first"), ["type", "surrogate"], "left")
-        again = F.coalesce(F.col("taken") | (F.col("first") != F.col("canonical")), F.lit(False))
-        state = clash.select("type", "canonical", (F.col("attempt") + again.cast("int")).alias("attempt"))
-    raise ValueError("surrogates still collide")
+        again = ~F.col("free") & F.coalesce(F.col("taken") | (F.col("first") != F.col("canonical")), F.lit(False))
+        state = clash.select("type", "canonical", (F.col("attempt") + again.cast("int")).alias("attempt"), "free")
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -360,11 +435,12 @@ def anonymise(docs: DataFrame, key: bytes = KEY, spans: str | None = None) -> Da
     """docs with surrogates in ``text``; ``spans`` names a column for their types and places."""
     own = entities(docs)
     other = other_attempts(own, key)
-    listed: dict = {}
     per_row = None
     if other.count() <= FEW:
         listed = {(r["type"], r["canonical"]): r["attempt"] for r in other.toLocalIterator()}
+        held = docs.sparkSession.sparkContext.broadcast(listed)
     else:
+        held = docs.sparkSession.sparkContext.broadcast({})
         docs, per_row = _attempts_by_row(docs, other)
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema] + ([T.StructField(spans, SPANS)] if spans else []))
     text_at, names = docs.columns.index("text"), schema.names
@@ -373,7 +449,7 @@ def anonymise(docs: DataFrame, key: bytes = KEY, spans: str | None = None) -> Da
         for big in stream:
             for batch in common.batches(big):
                 attempts = batch.column(per_row).to_pylist() if per_row else [None] * batch.num_rows
-                new = [(None, []) if t is None else replace(t, {(x["type"], x["canonical"]): x["attempt"] for x in a} if a else listed, key) for t, a in zip(batch.column(text_at).to_pylist(), attempts, strict=True)]
+                new = [(None, []) if t is None else replace(t, {(x["type"], x["canonical"]): x["attempt"] for x in a} if a else held.value, key) for t, a in zip(batch.column(text_at).to_pylist(), attempts, strict=True)]
                 columns = list(batch.columns)
                 columns[text_at] = pa.array([t for t, _ in new], pa.string())
                 if spans:
