@@ -1,4 +1,5 @@
 import random
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -75,6 +76,18 @@ def test_word_ids_equal_the_whole_texts(spark):
         assert np.frombuffer(words.of(t), np.uint32).tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
+def test_word_ids_over_all_letters_and_marks():
+    """Every letter and mark before, between and after what the shortcuts look at."""
+    from tokenizers import Tokenizer
+
+    whole, words = Tokenizer.from_file(packing.tokenizer_path()), packing.WordIds(packing.tokenizer_path())
+    signs = [c for c in map(chr, range(0x110000)) if unicodedata.category(c)[0] in "LM"]
+    lone = [c for c in signs if unicodedata.normalize("NFC", c) != c or c.lower() != c or not c.isalpha() or ord(c) < 0x3000]
+    texts = [f"{c}. a{c}, {c}a" for c in lone] + [" ".join(f"{c}. a{c}," for c in signs[at : at + 500]) for at in range(0, len(signs), 500)]
+    for t, got in zip(texts, whole.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(words.of(t), np.uint32).tolist() == got.ids, t
+
+
 def test_query_shape(spark):
     rows = [(1, "alpha beta " * 3000, "x"), (2, None, "y"), (2, "", "y"), (None, "short text", None), (5, "short text", "z")]
     out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, rank string"), 64).collect()

@@ -19,6 +19,7 @@ import struct
 import unicodedata
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,12 @@ PIECES = T.StructType(
 )
 
 
+@lru_cache(maxsize=4096)
+def stays_letter(c: str) -> bool:
+    """Whether the normaliser, too, ends c with a letter: some letters become one with a mark behind."""
+    return c.isalpha() and unicodedata.normalize("NFC", c).lower()[-1].isalpha()
+
+
 class WordIds(dict):
     """Little-endian 32-bit ids of a space-free word. The tokenizer's normaliser and pre-tokenizer
     never join text across white space, so a text's ids are its words' ids in order. Ids are
@@ -72,7 +79,7 @@ class WordIds(dict):
         self.model = self.tokenizer.model
 
     def __missing__(self, word: str) -> bytes:
-        if word[-1:] in (".", ",") and word[-2:-1].isalpha():  # the pre-tokenizer parts these from letters
+        if word[-1:] in (".", ",") and stays_letter(word[-2:-1]):  # the pre-tokenizer parts these from letters
             found = self[word] = self[word[:-1]] + self[word[-1]]
             return found
         if word.isascii() and (lower := word.lower()) != word:
