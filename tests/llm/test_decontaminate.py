@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import duckdb
+
 from weftgraph.llm import decontaminate as dc
 
 
@@ -72,9 +74,43 @@ def test_blocks_find_all_within_the_radius(spark):
     df = spark.createDataFrame(rows, "k int, a long, b long")
     from pyspark.sql import functions as F
 
-    listed = df.select("k", F.explode(dc.block_values(F.col("a"), dc.RADIUS // dc.BLOCKS)).alias("x"))
-    probes = df.select("k", F.explode(dc.block_values(F.col("b"), 0)).alias("x"))
-    assert listed.join(probes, ["k", "x"]).select("k").distinct().count() == 300
+    found = dc.candidates(df.select("k", F.lit(9).alias("n"), F.col("k").cast("string").alias("text"), F.col("b").alias("fp")), df.select(F.col("k").alias("item_id"), F.lit(9).alias("n"), F.col("a").alias("item_fp")))
+    assert {(r.text, r.item_id) for r in found.collect()} >= {(str(k), k) for k in range(300)}
+
+
+def test_recall_at_the_threshold(spark):
+    """Windows with a similarity just over 0.8: an item of 100 words and its copy with one or two words
+    changed at a place where 5 or 10 of 96 shingles go."""
+    rnd = random.Random(3)
+    items, docs = [], []
+    for k in range(400):
+        w = [f"w{rnd.randrange(5000)}" for _ in range(rnd.choice((60, 100)))]
+        items.append((k, " ".join(w)))
+        for at in rnd.sample(range(len(w)), 2 if len(w) == 100 else 1):
+            w[at] = "changed"
+        docs.append((k, " ".join(w)))
+    want = {(d, i) for (d, i), _ in brute_own(docs, items).items()}
+    got = {(r.doc_id, r.item_id) for r in dc.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= want and len(want) > 300 and len(got) >= 0.99 * len(want)
+
+
+def brute_own(docs, items):
+    """brute, where a document can only hold the item with its own number."""
+    return {k: v for d, i in zip(docs, items, strict=True) for k, v in brute([d], [i]).items()}
+
+
+def test_items_of_different_length_within_one_another(spark):
+    words = [f"n{k}" for k in range(52)]
+    items = [(10, " ".join(words[:50])), (11, " ".join(words)), (12, "tiny item"), (13, "One")]
+    docs = [(1, "before it " + items[0][1] + " and after " + "x " * 60), (2, "tiny ITEM, one"), (3, items[0][1]), (4, " ".join(words[:45]))]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start, r.n_words) for r in dc.matches(frame, bench).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: round(v[0], 9) for k, v in brute(docs, items).items()}
+    assert got[1, 11][0] < 0.95 < got[3, 11][0]
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas())
+    con.register("benchmark", bench.toPandas())
+    assert {(d, i): (round(s, 9), at, n) for d, i, s, at, n in con.execute(dc.ORACLE).fetchall()} == got
 
 
 def test_benchmark_in_blocks_and_empty(spark, monkeypatch):

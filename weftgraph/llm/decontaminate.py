@@ -10,10 +10,11 @@ when that is 0.8 or more.
    the items' shingle hashes, sent as a constant, drops nearly all positions inside the row they
    stand in, so neither the corpus nor its shingles are shuffled. The benchmark is the stated query
    set; beyond ``BLOCK`` shingles it is taken in blocks.
-2. Equal windows are one text from here on, however many documents hold it.
+2. Equal windows for items of one size are one text from here on, however many documents hold it.
 3. A SimHash of each window and item over their weighted shingles. Four blocks of 16 bits: two
-   fingerprints within ``RADIUS`` bits differ by ``RADIUS // 4`` bits at most in one block, so items are listed
-   under every such value of each block, windows under their own four.
+   fingerprints within ``RADIUS`` bits differ by ``RADIUS // 4`` bits at most in one block. Items are
+   listed under every value of each block that is all but one of these bits away, windows under
+   their own and those one bit away, together with the item's size: a window meets items of its size only.
 4. The exact weighted similarity of each candidate pair, over the shingles themselves.
 5. Matches go back to their documents by the window's text, both sides being written tables, so
    that a passage that a third of all documents hold is split.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SHINGLE, SIMILARITY = 5, 0.8
-RADIUS, BLOCK_BITS, BLOCKS = 15, 16, 4
+RADIUS, BLOCK_BITS, BLOCKS = 19, 16, 4
 #: Items' shingles that go out in one filter (of SLOTS slots each at least).
 BLOCK, SLOTS = 250_000, 32
 
@@ -98,14 +99,15 @@ def items(benchmark: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame, own: DataFrame, n_shingles: int) -> DataFrame:
-    """(doc_id, start, text) of the item-sized windows that share a shingle with an item, written."""
+    """(doc_id, start, n, text) of the windows for items of n words that share a shingle with such an
+    item, written."""
     found = None
     whole = own.filter(F.col("n") >= SHINGLE)
     cut = docs.select("doc_id", kept(words()).alias("words"))
     blocks = -(-n_shingles // BLOCK)
     for block in range(blocks):
         some = whole.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        places = some.select("n", F.posexplode("hashes").alias("place", "hash")).distinct()
+        places = common.materialize(some.select("n", F.posexplode("hashes").alias("place", "hash")).distinct(), "places")
         slots = 1 << max(10, (SLOTS * BLOCK if blocks > 1 else SLOTS * n_shingles).bit_length())
         marks = bytearray(slots // 4)  # four slots a byte, which stays below 16
         for r in places.select("hash").distinct().toLocalIterator():
@@ -117,14 +119,14 @@ def windows(docs: DataFrame, own: DataFrame, n_shingles: int) -> DataFrame:
         hashes = F.transform(F.sequence(F.lit(0), F.size("words") - SHINGLE), lambda i: F.struct(i.alias("at"), key([F.get("words", i + k) for k in range(SHINGLE)]).alias("hash")))
         hits = long_.select("doc_id", "words", F.filter(hashes, _marked(table, slots)).alias("hits"))
         hits = hits.select("doc_id", "words", F.explode("hits").alias("hit")).select("doc_id", "words", "hit.at", "hit.hash")
-        met = hits.join(F.broadcast(places), "hash")  # a block of BLOCK rows at most
+        met = hits.join(F.broadcast(places) if places.count() <= 2 * BLOCK else places, "hash")
         found = _cut(met, F.col("at") - F.col("place")) if found is None else found.unionByName(_cut(met, F.col("at") - F.col("place")))
     short = own.filter(F.col("n") < SHINGLE).select("n", "words").distinct()
     for n in range(1, SHINGLE):  # an item of fewer words is one shingle; its windows are its own copies
         if not (few := short.filter(F.col("n") == n)).isEmpty():
             text = few.select(F.array_join("words", " ").alias("text"))
             part = cut.filter(F.size("words") >= n).select("doc_id", F.posexplode(_runs(n)).alias("start", "text"))
-            part = part.join(text, "text", "left_semi").select("doc_id", "start", "text").distinct()
+            part = part.join(text, "text", "left_semi").select("doc_id", "start", F.lit(n).alias("n"), "text").distinct()
             found = part if found is None else found.unionByName(part)
     return common.materialize(found, "windows")
 
@@ -147,7 +149,18 @@ def _runs(n: int) -> Column:
 
 def _cut(met: DataFrame, start: Column) -> DataFrame:
     first = F.greatest(F.lit(0), F.least(start, F.size("words") - F.col("n")))
-    return met.select("doc_id", first.alias("start"), F.array_join(F.slice("words", first + 1, F.col("n")), " ").alias("text")).distinct()
+    return met.select("doc_id", first.alias("start"), "n", F.array_join(F.slice("words", first + 1, F.col("n")), " ").alias("text")).distinct()
+
+
+def candidates(texts: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(n, text, item_id) of the windows (n, text, fp) and items (item_id, n, item_fp) of one size whose
+    fingerprints differ by ``radius`` bits or fewer; written."""
+    far = radius // BLOCKS
+    listed = prints.select("*", F.explode(block_values(F.col("item_fp"), max(0, far - 1))).alias("b")).select("*", "b.block", "b.value").drop("b")
+    probes = texts.select("*", F.explode(block_values(F.col("fp"), min(1, far))).alias("b")).select("*", "b.block", "b.value").drop("b")
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius
+    listed = listed.hint("merge")  # thousands of rows an item, which Spark's estimate doesn't know
+    return common.materialize(probes.join(listed, ["n", "block", "value"]).filter(near).select("n", "text", "item_id").distinct(), "candidates")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -157,24 +170,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     if not n_shingles:
         return docs.select("doc_id").limit(0).select("doc_id", *(F.lit(None).cast(t).alias(c) for c, t in (("item_id", "long"), ("similarity", "double"), ("start", "int"), ("n_words", "int"))))
     cut = windows(docs, own, n_shingles)
-    texts = cut.select("text").distinct().select("text", kept(F.split("text", " ")).alias("words"))
-    texts = common.materialize(texts.select("text", "words", F.size("words").alias("n"), simhash(shingles(F.col("words"), key)).alias("fp")), "window-texts")
-    prints = common.materialize(own.select("item_id", F.col("n").alias("item_n"), simhash(F.col("hashes")).alias("item_fp")), "item-prints")
-    listed = prints.select("*", F.explode(block_values(F.col("item_fp"), radius // BLOCKS)).alias("b")).select("*", "b.block", "b.value").drop("b")
-    probes = texts.select("text", "n", "fp", F.explode(block_values(F.col("fp"), 0)).alias("b")).select("*", "b.block", "b.value").drop("b")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius
-    same_size = (F.col("n") == F.col("item_n")) | ((F.col("n") < F.col("item_n")))  # a whole shorter document
-    listed = listed.hint("merge")  # thousands of rows an item, which Spark's estimate doesn't know
-    pairs = common.materialize(probes.join(listed, ["block", "value"]).filter(near & same_size).select("text", "item_id").distinct(), "candidates")
+    texts = cut.select("n", "text").distinct().select("n", "text", kept(F.split("text", " ")).alias("words"))
+    texts = common.materialize(texts.select("n", "text", "words", simhash(shingles(F.col("words"), key)).alias("fp")), "window-texts")
+    prints = common.materialize(own.select("item_id", "n", simhash(F.col("hashes")).alias("item_fp")), "item-prints")
+    pairs = candidates(texts.select("n", "text", "fp"), prints, radius)
     weigh = lambda df, *by: df.select(*by, F.explode(shingles(F.col("words"), joined)).alias("shingle")).groupBy(*by, "shingle").agg(F.count("*").alias("weight"))
-    left = weigh(texts.join(pairs.select("text").distinct(), "text", "left_semi"), "text")
+    left = weigh(texts.join(pairs.select("n", "text").distinct(), ["n", "text"], "left_semi"), "n", "text")
     right = weigh(own.join(pairs.select("item_id").distinct(), "item_id", "left_semi"), "item_id").withColumnRenamed("weight", "item_weight")
-    shared = pairs.join(left, "text").join(right, ["item_id", "shingle"]).groupBy("text", "item_id").agg(F.sum(F.least("weight", "item_weight")).alias("shared"))
-    sizes = own.select("item_id", F.size("hashes").alias("item_total"), F.col("n").alias("n_words"))
+    shared = pairs.join(left, ["n", "text"]).join(right, ["item_id", "shingle"]).groupBy("n", "text", "item_id").agg(F.sum(F.least("weight", "item_weight")).alias("shared"))
+    sizes = own.select("item_id", F.size("hashes").alias("item_total"))
     total = F.greatest(F.size(F.split("text", " ")) - SHINGLE + 1, F.lit(1))
     scored = shared.join(sizes, "item_id").withColumn("similarity", F.col("shared") / (total + F.col("item_total") - F.col("shared")))
-    good = common.materialize(scored.filter(F.col("similarity") >= similarity).select("text", "item_id", "similarity", "n_words"), "matches")
-    best = cut.join(good, "text").groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_words")).alias("m"))
+    good = common.materialize(scored.filter(F.col("similarity") >= similarity).select("n", "text", "item_id", "similarity"), "matches")
+    best = cut.join(good, ["n", "text"]).withColumnRenamed("n", "n_words").groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_words")).alias("m"))
     return best.select("doc_id", "item_id", "m.similarity", (-F.col("m.s")).alias("start"), "m.n_words")
 
 
@@ -190,17 +198,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same matches without fingerprints: every window that shares a shingle with an item of its
-#: size, compared as it is (items of five words and more, as all in the tables are).
+#: size, compared as it is; an item of fewer than five words is found where it stands as it is.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
-i AS (SELECT item_id, w, len(w) AS n FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 5),
+i AS (SELECT item_id, w, len(w) AS n FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 1),
 ds AS (SELECT doc_id, len(w) AS size, unnest(range(len(w) - 4)) AS pos, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM d WHERE len(w) >= 5),
-s AS (SELECT item_id, n, unnest(range(n - 4)) AS place, unnest(list_transform(range(1, n - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM i),
+s AS (SELECT item_id, n, unnest(range(n - 4)) AS place, unnest(list_transform(range(1, n - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM i WHERE n >= 5),
 win AS (SELECT DISTINCT doc_id, n, greatest(0, least(pos - place, size - n)) AS start FROM ds JOIN (SELECT DISTINCT s, n, place FROM s) USING (s)),
 ws AS (SELECT doc_id, n, start, x.s, count(*) AS c FROM win JOIN d USING (doc_id), LATERAL (SELECT unnest(list_transform(range(start + 1, greatest(start + 2, least(start + n, len(w)) - 3)), lambda k: array_to_string(w[k:least(k + 4, start + n)], ' '))) AS s) x GROUP BY ALL),
 wt AS (SELECT doc_id, n, start, sum(c) AS total FROM ws GROUP BY ALL),
 si AS (SELECT item_id, n, s, count(*) AS c FROM s GROUP BY ALL),
 p AS (SELECT ws.doc_id, ws.n, ws.start, si.item_id, sum(least(ws.c, si.c)) AS shared FROM ws JOIN si ON si.s = ws.s AND si.n = ws.n GROUP BY ALL),
-r AS (SELECT doc_id, item_id, CAST(shared AS DOUBLE) / CAST(total + n - 4 - shared AS DOUBLE) AS similarity, start, n FROM p JOIN wt USING (doc_id, n, start))
-SELECT doc_id, item_id, max(similarity) AS similarity, CAST(arg_max(start, (similarity, -start)) AS INTEGER) AS start, CAST(any_value(n) AS INTEGER) AS n_words FROM r WHERE similarity >= 0.8 GROUP BY 1, 2
+r AS (SELECT doc_id, item_id, CAST(shared AS DOUBLE) / CAST(total + n - 4 - shared AS DOUBLE) AS similarity, start, n FROM p JOIN wt USING (doc_id, n, start)),
+sh AS (SELECT doc_id, item_id, 1.0::DOUBLE AS similarity, start, n FROM (SELECT doc_id, w, unnest(range(len(w))) AS start FROM d) JOIN (SELECT item_id, n, w AS iw FROM i WHERE n < 5) ON iw[1] = w[start + 1] AND w[start + 1:start + n] = iw)
+SELECT doc_id, item_id, max(similarity) AS similarity, CAST(arg_max(start, (similarity, -start)) AS INTEGER) AS start, CAST(any_value(n) AS INTEGER) AS n_words
+FROM (SELECT * FROM r UNION ALL SELECT * FROM sh) WHERE similarity >= 0.8 GROUP BY 1, 2
 """
