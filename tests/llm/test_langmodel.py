@@ -37,20 +37,72 @@ def test_edge_rows(spark):
     assert langmodel.scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("most", [64, 1 << 18])
-def test_the_model_is_a_distribution(spark, most, monkeypatch):
-    monkeypatch.setattr(langmodel, "VOCABULARY", most)
-    c = np.array([50, 40, 30, 20, 10, 5, 0] * 10, float)
-    model = langmodel.Model([b"w%d" % k for k in range(70)], c, 1550, 60, 30, 20).prepare()
-    model.weights = np.random.default_rng(1).normal(size=model.weights.shape).astype(np.float32)
-    texts = [b"w1 w2", b"w3"]
-    ids, first, _ = model.encode(texts)
-    rows = model.features(ids, first)
-    for k in range(len(ids)):
-        classes = np.exp(model.log_classes(rows[:, k : k + 1]))[0]
-        vocabulary = (classes[model.cls] * 10**model.within).sum()
-        rare = classes[langmodel.CLASSES - 1] * (sum([1.5 + 1] * 20) + 1) / 10**model.rare_norm
-        assert abs(vocabulary + rare - 1) < 1e-4
+def weighted(model, seed=1):
+    return np.random.default_rng(seed).normal(size=model.no_weights().shape).astype(np.float32)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 70, 400])
+def test_the_model_is_a_distribution(n):
+    """Over all known words and one unknown, whatever the weights and the words before."""
+    c = np.sort(np.random.default_rng(n).integers(1, 200, n))[::-1]
+    rare_tokens, rare_distinct = 60, 20
+    model = langmodel.Model([b"w%d" % k for k in range(n)], c, int(c.sum()) + rare_tokens, n + rare_distinct).prepare()
+    assert model.rare_mass == rare_tokens + rare_distinct + 1
+    weights = weighted(model)
+    for before in ([], [3], [3, 1], [(1 << 32) + 5, 2]):
+        total = 0.0
+        for leaf in [*range(n), -1]:
+            ids, context = np.array([*before, leaf]), np.array([*before, leaf])
+            ids[:-1] = -1
+            total += 10 ** model.log10_tokens(weights, ids, model.features(context, np.array([0])))[-1]
+        assert abs(total - 1) < 1e-4
+    if n:  # without weights: the add-one base
+        ids = np.arange(n)
+        got = model.log10_tokens(model.no_weights(), ids, model.features(ids, np.array([0])))
+        assert np.allclose(got, np.log10((c + 1) / (c.sum() + n + rare_tokens + rare_distinct + 1)), atol=1e-4)
+
+
+def test_code_tree():
+    for n in (1, 2, 3, 15, 16, 17, 31, 500):
+        mass = sorted(np.random.default_rng(n).geometric(0.02, n).tolist(), reverse=True)
+        start, node, branch, bias = langmodel.code_tree(mass)
+        codes = {tuple(zip(node[a:b].tolist(), branch[a:b].tolist(), strict=True)) for a, b in zip(start[:-1], start[1:], strict=True)}
+        assert len(codes) == n
+        for k in range(n):  # the shares along a code multiply to the leaf's
+            assert abs(np.exp(bias[node[start[k] : start[k + 1]], branch[start[k] : start[k + 1]]].sum()) - mass[k] / sum(mass)) < 1e-5
+
+
+def test_counts_by_brute_force():
+    model = langmodel.Model([b"a", b"b", b"c"], np.array([9, 5, 2]), 20, 5).prepare()
+    model.rows = 64
+    weights = weighted(model)
+    ids, context, first, rare = model.encode([b"a b zz c", b"", b"b a"])
+    assert rare == [[b"zz", b""], [b""], [b""]] and first.tolist() == [0, 5, 6]
+    observed, expected = np.zeros((langmodel.FAN, 64)), np.zeros((langmodel.FAN, 64))
+    model.count(weights, ids, model.features(context, first), observed, expected)
+    token, node, branch, rows = model.decisions(ids, model.features(context, first))
+    o, e = np.zeros((64, langmodel.FAN)), np.zeros((64, langmodel.FAN))
+    for k in range(len(token)):
+        z = model.bias[node[k]].astype(float) + sum(weights[r] for r in rows[:, k])
+        for r in rows[:, k]:
+            o[r, branch[k]] += 1
+            e[r] += np.exp(z) / np.exp(z).sum()
+    assert np.array_equal(observed, o.T) and np.allclose(expected, e.T, atol=1e-4)
+
+
+def texts(n, seed=2):
+    rnd = np.random.default_rng(seed)
+    return [(k, " ".join(f"w{x}" for x in np.minimum(rnd.geometric(0.03, rnd.integers(0, 60)), 90))) for k in range(n)]
+
+
+def test_held_out_texts_teach_nothing_and_the_split_does_not_matter(spark):
+    rows = texts(240)
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
+    other = [(i, f"hot hot new{i} w1 " * 9 if i in held else t) for i, t in rows]
+    score = lambda rows, parts: {r.doc_id: r.score for r in langmodel.scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()}
+    one, seven, changed = score(rows, 1), score(rows[::-1], 7), score(other, 3)
+    assert held and all(abs(one[i] - seven[i]) < 1e-4 for i in one)
+    assert all(abs(one[i] - changed[i]) < 1e-4 for i in one if i not in held)
 
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="needs the test tables")
@@ -62,18 +114,8 @@ def test_whole_table_and_gain(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_sums_by_row():
-    rnd = np.random.default_rng(3)
-    rows = np.minimum(rnd.geometric(0.05, 900), 60).astype(np.uint16)
-    grad = rnd.normal(size=(300, 5)).astype(np.float32)
-    want = np.zeros((61, 5))
-    np.add.at(want, rows, np.tile(grad, (3, 1)))
-    row, each, sums = langmodel.sums_by_row(rows, grad)
-    assert np.allclose(sums, want[row], atol=1e-4) and each.tolist() == np.bincount(rows)[row].tolist() and sorted(row) == sorted(set(rows.tolist()))
-
-
 def test_threshold_is_a_bound(spark):
-    counts = spark.createDataFrame([(b"w%d" % k, 1, 1 + k % 100) for k in range(5000)], "word binary, c_train long, c_all long")
+    counts = spark.createDataFrame([(b"w%d" % k, 1 + k % 100) for k in range(5000)], "word binary, c long")
     for most in (1, 40, 777, 5000):
         least = langmodel.threshold(counts, most)
-        assert counts.filter(f"c_all >= {least}").count() <= most
+        assert counts.filter(f"c >= {least}").count() <= most

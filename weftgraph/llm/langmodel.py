@@ -1,18 +1,25 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
-log P(w | h) = log P(class of w | h) + log P(w | its class). The classes are the most frequent words
-by themselves, then bands of equal mass, last the class of all rare and unknown words. The class
-given the history is a softmax over sums of hashed rows: the word before (bigram), the one before
-that (skip), and both (trigram). A word within its class has add-one shares of the training counts,
-so that the whole is a distribution over the known words and one unknown.
-
-* Word counts come from all texts, summed per task before the shuffle.
+The training words form nested classes: a code tree in which every inner node has ``FAN`` branches and
+frequent words few nodes above them. log P(w | h) is the sum of the log probabilities of the branches
+on the way to w, and each of these is a softmax given the history h: the node's own log shares (those
+of add-one counts) plus three rows of weights, hashed from the node and the word before (bigram), the
+one before that (skip), and both (trigram). Without weights the model is exactly the add-one base;
+with them it remains a distribution over the known words and one unknown.
+
+* Word counts come from the training texts, summed per task before the shuffle. All of the model is
+  learnt from these texts: other texts are only scored.
 * Words whose count reaches a threshold are the vocabulary that workers hold. The threshold is taken
   from a histogram of counts so that there are at most ``VOCABULARY`` of them: a proven bound.
-  Rarer words are counted per document and joined with the count table by word; such a word has
-  fewer occurrences than the threshold, so no key is hot.
-* Training: each task makes AdaGrad updates over its texts from the same start; the rows are then
-  averaged by the tokens that touched them, in one aggregation of ``ROWS`` keys.
+  Rarer words are one leaf, within which they have add-one shares: they are counted per document and
+  joined with the count table by word. As the word before, a rare word is told by a hash of its own.
+* The number of rows grows with the training tokens, one for ``TOKENS_A_ROW`` of them, up to
+  ``MOST_ROWS``: what a worker can hold. Further contexts share rows by their hash.
+* Training goes in ``ROUNDS`` rounds. Each takes the documents of one residue of crc32(doc_id), sums
+  observed and expected counts of every row's branches under the weights so far, and moves the
+  weights towards the observed (iterative scaling, with a prior). Sums do not depend on how rows are
+  dealt to tasks, so neither does the model, but for the last digits of a float. A round has as many
+  tasks as there are cores, so what is shuffled does not grow with the partitions of the input.
 * Scoring: one Arrow pass in sparse numpy batches.
 
 Edge cases: a null text is empty and still has its end token; a null doc_id counts as the empty
@@ -22,6 +29,7 @@ training rows all words are unknown; further columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from math import log10
 
@@ -33,11 +41,14 @@ from pyspark.sql import functions as F
 from . import common
 
 FOLDS, HELD_OUT = 7, 2
-VOCABULARY, CLASSES, SINGLE, ROWS = 1 << 18, 64, 40, 1 << 14
-BATCH, STEP, FEW = 4096, 0.3, 8
-#: Distinct words a task counts before it hands them on.
-COUNTED = 300_000
+VOCABULARY, FAN = 1 << 18, 16
+ROUNDS, STEP, PRIOR = 3, 0.4, 4.0
+TOKENS_A_ROW, LEAST_ROWS, MOST_ROWS = 256, 1 << 15, 1 << 19
+#: Tokens worked on at once, rows of a message, distinct words a task counts before it hands them on,
+#: tokens of a round that are worth a task.
+BATCH, BLOCK, COUNTED, TASK = 1 << 15, 512, 300_000, 250_000
 END = b""  # no word is empty
+NEVER = -60.0
 
 
 class Ids(dict):
@@ -45,34 +56,31 @@ class Ids(dict):
         return -1
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c_train, c_all) over (t, train), written; the end token is the empty word."""
+def word_counts(train: DataFrame) -> DataFrame:
+    """(word, c) over (t), written; the end token is the empty word."""
 
     def run(stream):
-        def rows(train: Counter, rest: Counter):
-            words = list({**train, **rest})
-            c = [train[w] for w in words]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c, pa.int64()), pa.array([n + rest[w] for n, w in zip(c, words, strict=True)], pa.int64())], names=["word", "c_train", "c_all"])
+        def rows(found: Counter):
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "c"])
 
-        train, rest = Counter(), Counter()
+        found: Counter = Counter()
         for big in stream:
             for batch in common.batches(big):
-                for text, learnt in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    into = train if learnt else rest
-                    into.update(text.lower().split())
-                    into[END] += 1
-                if len(train) + len(rest) > COUNTED:
-                    yield rows(train, rest)
-                    train, rest = Counter(), Counter()
-        yield rows(train, rest)
+                for text in batch.column(0).to_pylist():
+                    found.update(text.lower().split())
+                found[END] += batch.num_rows
+                if len(found) > COUNTED:
+                    yield rows(found)
+                    found = Counter()
+        yield rows(found)
 
-    part = docs.select("t", "train").mapInArrow(run, "word binary, c_train long, c_all long")
-    return common.materialize(part.groupBy("word").agg(F.sum("c_train").alias("c_train"), F.sum("c_all").alias("c_all")), "words")
+    part = train.select("t").mapInArrow(run, "word binary, c long")
+    return common.materialize(part.groupBy("word").agg(F.sum("c").alias("c")).filter("c > 0"), "words")
 
 
 def threshold(counts: DataFrame, most: int = VOCABULARY) -> int:
     """The smallest power of 2 ** (1 / 8) such that at most ``most`` words have that count."""
-    bands = counts.groupBy(F.floor(8 * F.log2("c_all")).alias("band")).agg(F.count("*").alias("n")).collect()
+    bands = counts.groupBy(F.floor(8 * F.log2("c")).alias("band")).agg(F.count("*").alias("n")).collect()
     total, least = 0, 1 << 62
     for band, n in sorted(((r.band, r.n) for r in bands), reverse=True):
         total += n
@@ -82,51 +90,74 @@ def threshold(counts: DataFrame, most: int = VOCABULARY) -> int:
     return least
 
 
-def sums_by_row(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, times, sum) over the distinct rows: rows[k] gets grad[k % len(grad)]. Few occurrences
-    are added one after another for all rows at once, many by a reduction."""
-    order = np.argsort(rows, kind="stable")
-    sorted_ = rows[order]
-    start = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-    each, at = np.diff(np.r_[start, len(rows)]), order % len(grad)
-    sums = grad[at[start]]
-    few = each <= FEW
-    for k in range(1, FEW):
-        more = np.flatnonzero(few & (each > k))
-        sums[more] += grad[at[start[more] + k]]
-    if not few.all():
-        many = np.repeat(~few, each)
-        sums[~few] = np.add.reduceat(grad[at[many]], np.r_[0, np.cumsum(each[~few])[:-1]], axis=0)
-    return sorted_[start].astype(np.int64), each, sums
+def code_tree(mass: list[int], fan: int = FAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first place of each leaf's code and the end, node and branch of each place, log shares of the
+    nodes' branches (nodes, fan)) of the nested classes that give heavy leaves the shortest codes.
+    ``mass`` descends but for its last leaf."""
+    n = len(mass)
+    leaves = sorted(range(n), key=lambda k: (mass[k], -k))
+    sums: list[int] = []
+    parent, branch = np.full(2 * n + 1, -1), np.zeros(2 * n + 1, np.int64)  # leaves, then nodes
+    shares: list[list[int]] = []
+    a, b, take = 0, 0, 2 + (n - 2) % (fan - 1) if n > 1 else 0
+    while take:
+        total, own = 0, []
+        for k in range(take):
+            if b >= len(sums) or a < n and mass[leaves[a]] <= sums[b]:
+                child, weight, a = leaves[a], mass[leaves[a]], a + 1
+            else:
+                child, weight, b = n + b, sums[b], b + 1
+            parent[child], branch[child] = len(sums), k
+            own.append(weight)
+            total += weight
+        sums.append(total)
+        shares.append(own)
+        take = min(fan, n - a + len(sums) - b)
+        take = take if take > 1 else 0
+    bias = np.full((len(sums), fan), NEVER, np.float32)
+    for node, own in enumerate(shares):
+        bias[node, : len(own)] = np.log(np.array(own) / sums[node])
+    depth = np.zeros(len(sums), np.int64)
+    for node in range(len(sums) - 2, -1, -1):
+        depth[node] = depth[parent[n + node]] + 1
+    length = depth[parent[:n]] + 1 if len(sums) else np.zeros(n, np.int64)
+    start = np.r_[0, np.cumsum(length)]
+    nodes, branches = np.zeros(start[-1], np.int32), np.zeros(start[-1], np.int8)
+    at, item, live = start[1:] - 1, np.arange(n), length > 0
+    while live.any():
+        nodes[at[live]], branches[at[live]] = parent[item[live]], branch[item[live]]
+        item, at = np.where(live, n + parent[item], item), at - 1
+        live = live & (parent[item] >= 0)
+    return start, nodes, branches, bias
+
+
+def rows_for(tokens: int) -> int:
+    """Rows of weights for so many training tokens, a power of two."""
+    return min(MOST_ROWS, max(LEAST_ROWS, 1 << max(0, (tokens // TOKENS_A_ROW - 1).bit_length())))
 
 
 class Model:
-    """What workers need: the vocabulary's ids and counts, classes and weights."""
+    """What workers need: the vocabulary's ids and counts and the nested classes. Weights (rows, FAN)
+    come apart, as they change from round to round."""
 
-    def __init__(self, words: list[bytes], c: np.ndarray, tokens: int, distinct: int, rare_tokens: int, rare_distinct: int):
+    def __init__(self, words: list[bytes], c: np.ndarray, tokens: int, distinct: int):
         self.words, self.tokens, self.distinct = words, tokens, distinct
         self.log_count = np.log10(c + 1.0)
-        self.known = c > 0
-        mass = c + 1.0
-        order = np.arange(len(words))
-        band = np.cumsum(mass[SINGLE:]) / max(mass[SINGLE:].sum(), 1)
-        self.cls = np.where(order < SINGLE, order, 0)
-        self.cls[SINGLE:] = SINGLE + np.minimum((band * (CLASSES - 1 - SINGLE)).astype(int), CLASSES - 2 - SINGLE)
-        total = np.bincount(self.cls, mass, CLASSES)
-        self.within = np.log10(mass / total[self.cls])
-        self.rare_norm = log10(rare_tokens + rare_distinct + 1)
-        total[CLASSES - 1] = rare_tokens + 1.0
-        self.bias = np.log(np.maximum(total, 1e-3) / total.sum()).astype(np.float32)
-        self.bias[total == 0] = -30
-        self.weights = np.zeros((ROWS, CLASSES), np.float32)
+        self.rare_mass = int(tokens + distinct + 1 - (c + 1).sum())
+        self.start, self.node, self.branch, self.bias = code_tree([int(x) + 1 for x in c] + [self.rare_mass])
+        self.rows = rows_for(tokens)
 
     def prepare(self) -> "Model":
         self.ids = Ids(zip(self.words, range(len(self.words)), strict=True))
-        self.cls_of = np.r_[self.cls, CLASSES - 1]  # -1: rare
+        self.depth = np.diff(self.start)
         return self
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-        """Ids of all texts with their ends, first token of each text, rare words of each."""
+    def no_weights(self) -> np.ndarray:
+        return np.zeros((self.rows, FAN), np.float32)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+        """Ids of all texts with their ends, the tokens as contexts, first token of each text, rare
+        words of each."""
         parts, rare, get = [], [], self.ids.__getitem__
         for text in texts:
             words = text.lower().split()
@@ -135,65 +166,68 @@ class Model:
             parts.append(ids)
             rare.append([words[k] for k in np.flatnonzero(ids < 0).tolist()])
         first = np.cumsum([0, *(len(p) for p in parts[:-1])])
-        return np.concatenate(parts), first, rare
+        ids = np.concatenate(parts)
+        context = ids.copy()
+        context[ids < 0] = [(1 << 32) + zlib.crc32(w) for own in rare for w in own]
+        return ids, context, first, rare
 
     @staticmethod
-    def features(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Hashed rows (3, n): bigram, skip, trigram; before a text stands a mark of its own."""
-        one, two = np.r_[-2, ids[:-1]], np.r_[-2, -2, ids[:-2]][: len(ids)]
+    def features(context: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Hashes (3, n) of bigram, skip and trigram contexts; before a text stands a mark of its own."""
+        one, two = np.r_[-2, context[:-1]], np.r_[-2, -2, context[:-2]][: len(context)]
         one[first] = two[first] = -2
         second = first + 1
-        two[second[second < len(ids)]] = -2
+        two[second[second < len(context)]] = -2
         one, two = one.astype(np.uint64), two.astype(np.uint64)
         with np.errstate(over="ignore"):
             a, b = one * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1), two * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(2)
-            c = (a ^ (b >> np.uint64(7))) * np.uint64(0x165667B19E3779F9)
-            mixed = np.stack([a, b, c])
+            return np.stack([a, b, (a ^ (b >> np.uint64(7))) * np.uint64(0x165667B19E3779F9)])
+
+    def decisions(self, ids: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(token, node, branch, rows (3, ..)) of every branch taken on the way to the tokens' words."""
+        leaf = np.where(ids < 0, len(self.words), ids)
+        n = self.depth[leaf]
+        token = np.repeat(np.arange(len(leaf)), n)
+        at = np.arange(len(token)) + np.repeat(self.start[leaf] - (np.cumsum(n) - n), n)
+        node = self.node[at]
+        with np.errstate(over="ignore"):
+            mixed = features[:, token] + node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
             mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (mixed >> np.uint64(64 - ROWS.bit_length() + 1)).astype(np.int64)
-
-    def exponents(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(scores, their exponentials, the sums of those) of the classes, (n, CLASSES) and (n, 1)."""
-        w = self.weights
-        z = w[rows[0]]
-        z += w[rows[1]]
-        z += w[rows[2]]
-        z += self.bias
+        return token, node, self.branch[at], (mixed >> np.uint64(65 - self.rows.bit_length())).astype(np.int64)
+
+    def exponents(self, weights: np.ndarray, node: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scores, their exponentials, the sums of those) of the branches, (n, FAN) and (n, 1)."""
+        z = self.bias.take(node, 0)
+        for row in rows:
+            z += weights.take(row, 0)
         with np.errstate(over="ignore"):
             e = np.exp(z)
-            total = e.sum(1, keepdims=True)
+            total = e @ np.ones((FAN, 1), np.float32)
         if not np.isfinite(total).all() or not total.all():  # scores beyond what a float's exponent holds
             z -= z.max(1, keepdims=True)
             e = np.exp(z)
-            total = e.sum(1, keepdims=True)
+            total = e @ np.ones((FAN, 1), np.float32)
         return z, e, total
 
-    def log_classes(self, rows: np.ndarray) -> np.ndarray:
-        """Natural log of the class probabilities, (n, CLASSES)."""
-        z, _, total = self.exponents(rows)
-        return z - np.log(total)
-
-    def learn(self, ids: np.ndarray, first: np.ndarray, squares: np.ndarray, touched: np.ndarray) -> None:
-        rows, cls = self.features(ids, first), self.cls_of[ids]
+    def count(self, weights: np.ndarray, ids: np.ndarray, features: np.ndarray, observed: np.ndarray, expected: np.ndarray) -> None:
+        """Adds the branches taken, and those expected, to the counts (FAN, rows)."""
         for at in range(0, len(ids), BATCH):
-            some = rows[:, at : at + BATCH]
-            n = some.shape[1]
-            _, grad, total = self.exponents(some)
-            grad /= total
-            grad[np.arange(n), cls[at : at + BATCH]] -= 1
-            row, each, sums = sums_by_row(some.ravel().astype(np.uint16), grad)
-            squares[row] += np.einsum("ij,ij->i", sums, sums)
-            touched[row] += each
-            self.weights[row] -= STEP * sums / np.sqrt(squares[row] + 1)[:, None]
-
-    def log10_tokens(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 of the model's probability of each token; for a rare one only of its class."""
-        rows, cls = self.features(ids, first), self.cls_of[ids]
-        out = np.empty(len(ids))
+            _, node, branch, rows = self.decisions(ids[at : at + BATCH], features[:, at : at + BATCH])
+            _, e, total = self.exponents(weights, node, rows)
+            p, flat = np.ascontiguousarray((e / total).T, np.float64), rows.ravel()
+            observed += np.bincount(np.tile(branch * np.int64(self.rows), 3) + flat, minlength=FAN * self.rows).reshape(FAN, -1)
+            for k in range(FAN):
+                expected[k] += np.bincount(flat, np.tile(p[k], 3), self.rows)
+
+    def log10_tokens(self, weights: np.ndarray, ids: np.ndarray, features: np.ndarray) -> np.ndarray:
+        """log10 of the model's probability of each token; for a rare one only of the leaf of them all."""
+        out = []
         for at in range(0, len(ids), BATCH):
-            z, _, total = self.exponents(rows[:, at : at + BATCH])
-            out[at : at + BATCH] = (z[np.arange(len(z)), cls[at : at + BATCH]] - np.log(total[:, 0])) / np.log(10)
-        return out + np.where(ids >= 0, np.r_[self.within, 0][ids], 0)
+            some = ids[at : at + BATCH]
+            token, node, branch, rows = self.decisions(some, features[:, at : at + BATCH])
+            z, _, total = self.exponents(weights, node, rows)
+            out.append(np.bincount(token, z[np.arange(len(node)), branch] - np.log(total[:, 0]), len(some)) / np.log(10))
+        return np.concatenate(out)
 
 
 def unpacked(held) -> Model:
@@ -202,60 +236,77 @@ def unpacked(held) -> Model:
     return model if hasattr(model, "ids") else model.prepare()
 
 
-def train(docs: DataFrame, model: Model) -> Model:
-    """The model with averaged weights, after one pass over (t) of the training rows."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)
-
-    def run(stream):
-        own = unpacked(held)
-        own.weights = np.zeros((ROWS, CLASSES), np.float32)
-        squares, touched = np.zeros(ROWS, np.float32), np.zeros(ROWS, np.int64)
-        for big in stream:
-            for batch in common.batches(big, 512):
-                ids, first, _ = own.encode(batch.column(0).to_pylist())
-                own.learn(ids, first, squares, touched)
-        seen = np.flatnonzero(touched)
-        names = ["row", "n", *(f"w{k}" for k in range(CLASSES))]
-        weighted = own.weights[seen] * touched[seen, None].astype(np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(touched[seen]), *(pa.array(weighted[:, k]) for k in range(CLASSES))], names=names)
-
-    schema = "row long, n long, " + ", ".join(f"w{k} double" for k in range(CLASSES))
-    summed = docs.select("t").mapInArrow(run, schema).groupBy("row").agg(F.sum("n").alias("n"), *(F.sum(f"w{k}").alias(f"w{k}") for k in range(CLASSES)))
-    got = summed.toArrow()  # ROWS rows at most
-    row = got["row"].to_numpy()
-    model.weights = np.zeros((ROWS, CLASSES), np.float32)
-    for k in range(CLASSES):
-        model.weights[row, k] = got[f"w{k}"].to_numpy() / got["n"].to_numpy()
-    held.unpersist()
-    return model
+def train(docs: DataFrame, held, model: Model) -> np.ndarray:
+    """The weights after one pass over the (t, round) of the training rows, a round after another."""
+    spark, rows = docs.sparkSession, model.rows
+    weights, tasks = model.no_weights(), min(spark.sparkContext.defaultParallelism, model.tokens // ROUNDS // TASK + 1)
+    for r in range(ROUNDS):
+        sent = spark.sparkContext.broadcast(weights)
+
+        def run(stream, sent=sent):
+            own, observed, expected = unpacked(held), np.zeros((FAN, rows)), np.zeros((FAN, rows))
+            for big in stream:
+                for batch in common.batches(big, 512):
+                    ids, context, first, _ = own.encode(batch.column(0).to_pylist())
+                    own.count(sent.value, ids, own.features(context, first), observed, expected)
+            both = np.stack([observed.T, expected.T], 2).astype(np.float32)  # (rows, FAN, 2)
+            seen = [at for at in range(0, rows, BLOCK) if both[at : at + BLOCK].any()]
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array([both[at : at + BLOCK].tobytes() for at in seen], pa.binary())], names=["first", "counts"])
+
+        def move(stream):
+            at, sums = None, None
+            for batch in stream:
+                out = []
+                for first, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if first != at:
+                        out += [(at, moved(sums))] if at is not None else []
+                        at, sums = first, 0.0
+                    sums = sums + np.frombuffer(counts, np.float32).reshape(-1, FAN, 2).astype(np.float64)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["first", "step"])
+            if at is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([moved(sums)], pa.binary())], names=["first", "step"])
+
+        part = docs.filter(F.col("round") == r).select("t").coalesce(tasks).mapInArrow(run, "first long, counts binary")
+        steps = part.repartition("first").sortWithinPartitions("first").mapInArrow(move, "first long, step binary")
+        weights = weights.copy()
+        for row in steps.toLocalIterator():  # FAN * 4 bytes a row of weights in all
+            found = np.frombuffer(row["step"], np.float32).reshape(-1, FAN)
+            weights[row["first"] : row["first"] + len(found)] += found
+        sent.unpersist()
+    return weights
+
+
+def moved(sums: np.ndarray) -> bytes:
+    """By how much the weights of a block change, from its observed and expected counts."""
+    return (STEP * np.log((sums[..., 0] + PRIOR) / (sums[..., 1] + PRIOR))).astype(np.float32).tobytes()
 
 
 SCORED = "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_rare long, rare array<struct<word:binary,tf:int>>"
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
+def score_documents(docs: DataFrame, held, weights: np.ndarray) -> DataFrame:
     """Sums over the vocabulary's tokens of each row, and its rare words; written."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(stream):
         from pyspark import TaskContext
 
         own, nth = unpacked(held), TaskContext.get().partitionId() << 33
+        log_count = np.r_[own.log_count, 0]  # -1: rare
         for big in stream:
             for batch in common.batches(big, 512):
-                ids, first, rare = own.encode(batch.column(2).to_pylist())
-                hot = ids >= 0
+                ids, context, first, rare = own.encode(batch.column(2).to_pylist())
                 add = lambda x: np.add.reduceat(x, first)
                 n = np.diff(np.r_[first, len(ids)])
-                sums = [add(np.where(hot, np.r_[self_, 0][ids], 0)) for self_ in (own.known.astype(np.int64), own.log_count)]
+                score = own.log10_tokens(sent.value, ids, own.features(context, first))
                 counted = [Counter(r) for r in rare]
                 ends = np.cumsum([0, *map(len, counted)]).astype(np.int32)
                 pair = pa.StructArray.from_arrays([pa.array([w for c in counted for w in c], pa.binary()), pa.array([k for c in counted for k in c.values()], pa.int32())], names=["word", "tf"])
                 row_ids = nth + np.arange(batch.num_rows)
                 nth += batch.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row_ids), batch.column(0), batch.column(1), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), pa.array(add(own.log10_tokens(ids, first))), pa.array([len(r) for r in rare], pa.int64()), pa.ListArray.from_arrays(ends, pair)],
+                    [pa.array(row_ids), batch.column(0), batch.column(1), pa.array(n), pa.array(add((ids >= 0).astype(np.int64))), pa.array(add(log_count[ids])), pa.array(add(score)), pa.array([len(r) for r in rare], pa.int64()), pa.ListArray.from_arrays(ends, pair)],
                     names=[x.split()[0] for x in SCORED.split(", ")],
                 )
 
@@ -264,25 +315,23 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, counts and both scores of every row."""
-    fold = common.crc_mod("doc_id", FOLDS) == HELD_OUT
-    docs = common.narrow(docs).select("doc_id", fold.alias("held_out"), (~fold).alias("train"), common.text_bytes("text").alias("t"))
-    counts = word_counts(docs)
+    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    docs = common.narrow(docs).select("doc_id", (F.pmod(crc, F.lit(FOLDS)) == HELD_OUT).alias("held_out"), F.pmod(F.floor(crc / FOLDS), F.lit(ROUNDS)).alias("round"), common.text_bytes("text").alias("t"))
+    learnt = docs.filter("NOT held_out")
+    counts = word_counts(learnt)
     least = threshold(counts)
-    hot = F.col("c_all") >= least
-    sums = [F.sum("c_train"), F.sum((F.col("c_train") > 0).cast("long")), F.sum(F.when(~hot, F.col("c_train"))), F.sum(F.when(~hot, (F.col("c_train") > 0).cast("long")))]
-    tokens, distinct, rare_tokens, rare_distinct = (x or 0 for x in counts.agg(*sums).first())
-    top = counts.filter(hot).orderBy(F.desc("c_all"), "word").toArrow()  # VOCABULARY rows at most
-    model = Model(top["word"].to_pylist(), top["c_train"].to_numpy(), tokens, distinct, rare_tokens, rare_distinct)
-    model = train(docs.filter("train"), model)
-    scored = score_documents(docs, model)
+    tokens, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
+    top = counts.filter(F.col("c") >= least).orderBy(F.desc("c"), "word").toArrow()  # VOCABULARY rows at most
+    model = Model(top["word"].to_pylist(), top["c"].to_numpy(), tokens, distinct)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    scored = score_documents(docs, held, train(learnt, held, model))
     rare = scored.select("row_id", F.explode("rare").alias("r")).select("row_id", "r.word", "r.tf")
-    tail = counts.filter(~hot & (F.col("c_train") > 0)).select("word", "c_train")
-    met = rare.join(tail, "word").groupBy("row_id").agg(F.sum("tf").alias("rare_known"), F.sum(F.col("tf") * F.log10(F.col("c_train") + F.lit(1))).alias("rare_log"))
+    met = rare.join(counts.filter(F.col("c") < least), "word").groupBy("row_id").agg(F.sum("tf").alias("rare_known"), F.sum(F.col("tf") * F.log10(F.col("c") + F.lit(1))).alias("rare_log"))
     out = scored.drop("rare").join(met, "row_id", "left").fillna(0, ["rare_known"]).fillna(0.0, ["rare_log"])
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("rare_known")).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.col("rare_log") - F.col("n_tokens") * log10(tokens + distinct + 1)).alias("base_score"),
-        (F.col("score") + F.col("rare_log") - F.col("n_rare") * model.rare_norm).alias("score"),
+        (F.col("score") + F.col("rare_log") - F.col("n_rare") * log10(model.rare_mass)).alias("score"),
     )
 
 
