@@ -1,5 +1,6 @@
 """The distributed rounds against the compact kernels, plain algorithms and each other."""
 
+import os
 import random
 from collections import defaultdict, deque
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.operators import components, flow, logic, ranks, selection, survey, traversal
-from weftgraph.plans import engine
+from weftgraph.plans import engine, scratch
 from weftgraph.plans.graph import Graph
 from weftgraph.sources import generators, netlist
 
@@ -82,6 +83,48 @@ def test_long_path_and_star_contract(spark):
     assert got == {i: 0 for i in range(201)} | {i: 1000 for i in range(1000, 1200)}
 
 
+def test_rounds_of_contraction_do_not_follow_the_diameter(spark, monkeypatch):
+    """An ascending path, a grid numbered row by row and a star whose centre is the last."""
+    n, side, written = 10_000, 48, []
+    rows = [(i, i + 1) for i in range(n)]
+    grid = [(20_000 + i * side + j, 20_000 + (i + di) * side + j + dj) for i in range(side) for j in range(side) for di, dj in ((0, 1), (1, 0)) if i + di < side and j + dj < side]
+    star = [(40_000 + k, 50_000) for k in range(3000)]
+    plain = components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, what: written.append(what) or plain(df, what))
+    got = components.component_labels(spark.createDataFrame(rows + grid + star, "src long, dst long"))
+    sizes = {r.component: r["count"] for r in got.groupBy("component").count().collect()}
+    assert sizes == {0: n + 1, 20_000: side * side, 40_000: 3001}
+    assert written.count("cc-pointers") < 30
+
+
+def test_scratch_does_not_grow_with_the_rounds(spark, monkeypatch):
+    monkeypatch.setattr(engine, "COMPACT_EDGES", -1)
+    monkeypatch.setattr(engine, "FOLD", 4)
+    folder = scratch.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    most, plain = [0], engine.materialize
+    monkeypatch.setattr(engine, "materialize", lambda df, what: (plain(df, what), most.append(len(set(os.listdir(folder)) - before)))[0])
+    path = spark.createDataFrame([(i, i + 1, 1) for i in range(24)], "src long, dst long, w long")
+    got = {r.id: r.dist for r in traversal.sssp(Graph(spark.range(25), path), 0).collect()}
+    assert got == {i: i for i in range(25)} and max(most) <= 12
+
+
+def test_a_hub_is_dealt_over_slots(spark):
+    edges = spark.createDataFrame([(0, k, k) for k in range(1000)] + [(1, 2, 5)], "src long, dst long, w long")
+    routes = engine.Spread(edges, limit=100)
+    assert {r.src: r.slots for r in routes.heavy.collect()} == {0: 10}
+    assert routes.edges.filter("src = 0").select("slot").distinct().count() == 10
+    met = routes.join(spark.createDataFrame([(0, 7), (1, 8), (5, 9)], "src long, x long"))
+    assert sorted((r.src, r.dst, r.w, r.x) for r in met.collect()) == sorted([(0, k, k, 7) for k in range(1000)] + [(1, 2, 5, 8)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:  # what is joined with many rows: only these move, the edges lie where they are
+        plan = routes.join(spark.range(100).toDF("src"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
+    routes.discard()
+
+
 def test_pagerank(spark, form):
     rows = rows_of(4, m=60)
     graph = graph_of(spark, rows)

@@ -1,9 +1,11 @@
 """Connected components by contraction.
 
-Each round every vertex of the remaining graph points at the smallest vertex of its closed
-neighbourhood, edges are rewritten to those pointers, and loops and doubles go. The edge table
-shrinks by a factor a round; the pointers of all rounds, followed backwards, give each vertex the
-smallest vertex of its component. Every table a join reads is a written one, so both sides of the
+Each round draws an order of the vertices anew, by a hash of the id and the round. Every vertex of
+the remaining graph points at the first of its closed neighbourhood, edges are rewritten to those
+pointers, and loops and doubles go. At most three quarters of the vertices are expected to be left
+(a half on a path), however they are numbered, so the rounds are as many as the logarithm of the
+vertices; the pointers of all rounds, followed backwards, give each vertex its component, named by
+its smallest vertex at last. Every table a join reads is a written one, so both sides of the
 join are plain exchanges and adaptive execution may split a hub's rows over several tasks.
 """
 
@@ -18,7 +20,7 @@ from pyspark.sql.window import Window
 from weftgraph.plans.engine import in_one_task, is_compact, least_paths, numbered
 from weftgraph.plans.fixtures import GRAPHS, cte, edges
 from weftgraph.plans.graph import Graph
-from weftgraph.plans.scratch import materialize
+from weftgraph.plans.scratch import discard, materialize
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
@@ -29,21 +31,27 @@ def component_labels(edges: DataFrame) -> DataFrame:
     rest = materialize(pairs.filter("a < b").distinct(), "cc-edges")
     rounds: list[DataFrame] = []
     while not rest.isEmpty():
+        drawn = lambda c, r=len(rounds): F.xxhash64(F.lit(r), c)
         ends = rest.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("n")), F.struct(F.col("b").alias("id"), F.col("a").alias("n")))).alias("e"))
-        pointer = materialize(ends.groupBy("e.id").agg(F.min("e.n").alias("n")).select("id", F.least("id", "n").alias("p")), "cc-pointers")
+        least = ends.groupBy("e.id").agg(F.min(F.struct(drawn(F.col("e.n")).alias("h"), F.col("e.n").alias("n"))).alias("m"))
+        pointer = materialize(least.select("id", F.least(F.struct(drawn(F.col("id")).alias("h"), F.col("id").alias("n")), F.col("m"))["n"].alias("p")), "cc-pointers")
         rounds.append(pointer)
         left = rest.join(pointer.select(F.col("id").alias("a"), F.col("p").alias("pa")), "a").select("pa", "b")
         half = materialize(left.distinct(), "cc-half")
         both = half.join(pointer.select(F.col("id").alias("b"), F.col("p").alias("pb")), "b")
-        rest = materialize(both.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).filter("a < b").distinct(), "cc-edges")
+        old, rest = rest, materialize(both.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).filter("a < b").distinct(), "cc-edges")
+        discard(old, half)
     if not rounds:
         return rest.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    labels = rounds.pop().select("id", F.col("p").alias("component"))
-    while rounds:
-        pointer = rounds.pop()
-        upper = materialize(labels.select(F.col("id").alias("p"), F.col("component")), "cc-labels")
-        labels = pointer.join(upper, "p", "left").select("id", F.coalesce("component", "p").alias("component"))
-    return labels
+    labels = materialize(rounds[-1].select("id", F.col("p").alias("component")), "cc-labels")
+    for pointer in reversed(rounds[:-1]):
+        upper = labels.select(F.col("id").alias("p"), "component")
+        old, labels = labels, materialize(pointer.join(upper, "p", "left").select("id", F.coalesce("component", "p").alias("component")), "cc-labels")
+        discard(old)
+    discard(*rounds)
+    # whichever vertex was drawn last stands for the component until here
+    smallest = materialize(labels.groupBy("component").agg(F.min("id").alias("least")), "cc-least")
+    return labels.join(smallest, "component").select("id", F.col("least").alias("component"))
 
 
 def _labels_compact(edges: DataFrame) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.traversal import sssp_all
-from weftgraph.plans.engine import in_one_task, is_compact, numbered, sent_adjacency
+from weftgraph.plans.engine import Spread, in_one_task, is_compact, numbered, sent_adjacency
 from weftgraph.plans.fixtures import cte, edges
 from weftgraph.plans.graph import Graph, reversed_edges
-from weftgraph.plans.scratch import materialize
+from weftgraph.plans.scratch import discard, materialize
 
 DAMPING, TOLERANCE, TOP = 0.85, 1e-4, 100
 
@@ -45,14 +45,18 @@ def pagerank(graph: Graph, rounds: int | None = None, tolerance: float = TOLERAN
             return pd.DataFrame({"id": ids, "rank": rank})
 
         return in_one_task(rows, kernel, "id long, rank double")
-    rank, done = materialize(vertices.withColumn("rank", F.lit(start)), "ranks"), 0
+    routes, rank, done = Spread(own, "dst"), materialize(vertices.withColumn("rank", F.lit(start)), "ranks"), 0
     while rounds is None or done < rounds:
-        sent = own.join(rank.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        new = materialize(rank.join(sent, "id", "left").select("id", (F.lit(base) + F.coalesce("got", F.lit(0.0))).alias("rank"), F.abs(F.lit(base) + F.coalesce("got", F.lit(0.0)) - F.col("rank")).alias("change")), "ranks")
-        rank, done = new.drop("change"), done + 1
+        sent = routes.join(rank.withColumnRenamed("id", "dst")).select(F.col("src").alias("id"), (F.col("share") * F.col("rank")).alias("got"), F.lit(None).cast("double").alias("old"))
+        kept = rank.select("id", F.lit(base).alias("got"), F.col("rank").alias("old"))
+        new = sent.unionByName(kept).groupBy("id").agg(F.sum("got").alias("rank"), F.max("old").alias("old"))
+        new = materialize(new.select("id", "rank", F.abs(F.col("rank") - F.col("old")).alias("change")), "ranks")
+        discard(rank)
+        rank, done = new, done + 1
         if rounds is None and new.agg(F.sum("change")).first()[0] <= tolerance:
             break
-    return rank
+    routes.discard()
+    return rank.select("id", "rank")
 
 
 def pagerank_async(graph: Graph, tolerance: float = 1e-13, damping: float = DAMPING) -> DataFrame:
@@ -77,11 +81,14 @@ def pagerank_async(graph: Graph, tolerance: float = 1e-13, damping: float = DAMP
             return pd.DataFrame({"id": ids, "rank": rank + left})
 
         return in_one_task(rows, kernel, "id long, rank double")
-    state = materialize(vertices.select("id", F.lit(0.0).alias("rank"), F.lit(base).alias("left")), "residuals")
-    while not state.filter(F.col("left") > least).isEmpty():
-        open_ = F.col("left") > least
-        sent = own.join(state.filter(open_).select(F.col("id").alias("dst"), "left"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("share") * F.col("left")).alias("got"))
-        state = materialize(state.join(sent, "id", "left").select("id", (F.col("rank") + F.when(open_, F.col("left")).otherwise(0.0)).alias("rank"), (F.when(open_, 0.0).otherwise(F.col("left")) + F.coalesce("got", F.lit(0.0))).alias("left")), "residuals")
+    routes, state = Spread(own, "dst"), materialize(vertices.select("id", F.lit(0.0).alias("rank"), F.lit(base).alias("left")), "residuals")
+    open_ = F.col("left") > least
+    while not state.filter(open_).isEmpty():
+        moved = routes.join(state.filter(open_).select(F.col("id").alias("dst"), "left")).select(F.col("src").alias("id"), F.lit(0.0).alias("rank"), (F.col("share") * F.col("left")).alias("left"))
+        kept = state.select("id", (F.col("rank") + F.when(open_, F.col("left")).otherwise(0.0)).alias("rank"), F.when(open_, 0.0).otherwise(F.col("left")).alias("left"))
+        old, state = state, materialize(kept.unionByName(moved).groupBy("id").agg(F.sum("rank").alias("rank"), F.sum("left").alias("left")), "residuals")
+        discard(old)
+    routes.discard()
     return state.select("id", (F.col("rank") + F.col("left")).alias("rank"))
 
 

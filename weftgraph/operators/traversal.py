@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.plans.engine import fixpoint, least_paths
+from weftgraph.plans.engine import Spread, fixpoint, least_paths
 from weftgraph.plans.fixtures import GRAPHS, HUB, cte, edges
 from weftgraph.plans.graph import Graph, reversed_edges
-from weftgraph.plans.scratch import materialize
+from weftgraph.plans.scratch import discard, materialize
 
 #: A frontier of a share below this is pushed along its edges, a larger one pulled by the rest.
 PULL_SHARE = 1 / 21
@@ -57,17 +57,19 @@ def bfs_direction(graph: Graph, source: int) -> DataFrame:
             rest = state.filter("dist IS NULL").select(F.col("id").alias("src"))
             new = own.join(rest, "src", "left_semi").join(front.toDF("dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
         level += 1
-        state = materialize(state.join(new.withColumn("new", F.lit(level).cast("long")), "id", "left").select("id", F.coalesce("dist", "new").alias("dist")), "levels")
+        old, state = state, materialize(state.join(new.withColumn("new", F.lit(level).cast("long")), "id", "left").select("id", F.coalesce("dist", "new").alias("dist")), "levels")
+        discard(old)
 
 
 def sssp_bellman(graph: Graph, source: int, max_rounds: int | None = None) -> DataFrame:
     """Edge-parallel relaxation of all edges in each round until no distance changes."""
-    own = materialize(graph.edges.select("src", "dst", "w"), "edges")
+    own = graph.edges.select("src", "dst", "w")
     if (own.agg(F.min("w")).first()[0] or 0) < 0:
         raise ValueError("weights must not be negative")
+    routes = Spread(own)
 
     def step(state: DataFrame) -> DataFrame:
-        sent = state.filter("dist IS NOT NULL").join(own, state.id == own.src).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
+        sent = routes.join(state.filter("dist IS NOT NULL").select(F.col("id").alias("src"), "dist")).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
         met = state.drop("active").join(sent, "id", "left")
         better = F.col("new").isNotNull() & (F.col("dist").isNull() | (F.col("new") < F.col("dist")))
         return met.select("id", F.least("dist", "new").alias("dist"), better.alias("active"))
@@ -79,7 +81,7 @@ def sssp_bellman(graph: Graph, source: int, max_rounds: int | None = None) -> Da
 def sssp_buckets(graph: Graph, source: int, delta: int = 10) -> DataFrame:
     """Distances settled bucket by bucket: only vertices within the lowest open bucket of width
     2 ** delta send; the source given is the one used."""
-    own = materialize(graph.edges.select("src", "dst", "w"), "edges")
+    routes = Spread(graph.edges.select("src", "dst", "w"))
     state = materialize(graph.vertices.select("id", F.when(F.col("id") == source, F.lit(0).cast("long")).alias("dist")).withColumn("open", F.col("id") == source), "buckets")
     while True:
         low = state.filter("open").agg(F.min("dist")).first()[0]
@@ -87,10 +89,11 @@ def sssp_buckets(graph: Graph, source: int, delta: int = 10) -> DataFrame:
             return state.select("id", "dist")
         top = (low >> delta) + 1 << delta
         now = F.col("open") & (F.col("dist") < top)
-        sent = state.filter(now).join(own, state.id == own.src).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
+        sent = routes.join(state.filter(now).select(F.col("id").alias("src"), "dist")).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
         met = state.join(sent, "id", "left")
         better = F.coalesce(F.col("new").isNotNull() & (F.col("dist").isNull() | (F.col("new") < F.col("dist"))), F.lit(False))
-        state = materialize(met.select("id", F.least("dist", "new").alias("dist"), (better | (F.col("open") & (F.col("dist") >= top))).alias("open")), "buckets")
+        old, state = state, materialize(met.select("id", F.least("dist", "new").alias("dist"), (better | (F.col("open") & (F.col("dist") >= top))).alias("open")), "buckets")
+        discard(old)
 
 
 def parents(graph: Graph, dist: DataFrame, weight: str | None = None) -> DataFrame:

@@ -1,14 +1,15 @@
 """Bulk-synchronous rounds over DataFrames, and their compact form for small graphs.
 
 A round is a join of the active rows with the edges, an aggregation of the messages and a join with
-the state. Each round's state is a written table in the shared folder: plans stay one round deep,
-and a lost executor costs one round at most. Where a graph has ``COMPACT_EDGES`` edges or fewer -
+the state. What a round changes is a written table in the shared folder: plans stay one round deep,
+and a lost executor costs one round at most. Tables that no later round reads are deleted. Where a graph has ``COMPACT_EDGES`` edges or fewer -
 counted, not guessed - the same recurrence runs over numpy arrays in one task instead, which saves
 the scheduling of a job or more per round; results are equal, and tests hold them against another.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import bucketed, discard, materialize
 
 #: 24 bytes an edge: about 100 MB in the one task.
 COMPACT_EDGES = 4_000_000
@@ -47,16 +48,50 @@ def numbered(edges: pd.DataFrame, *more: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], active: str = "active", max_rounds: int | None = None, what: str = "state") -> DataFrame:
     """state, step(state), .. until no row is active. Each round is written; one action a round
-    besides tells whether any row is active."""
+    besides tells whether any row is active. Two rounds' tables are held at most."""
     state, rounds = materialize(state, what), 0
     while (max_rounds is None or rounds < max_rounds) and not state.filter(active).isEmpty():
-        state, rounds = materialize(step(state), what), rounds + 1
+        old, state, rounds = state, materialize(step(state), what), rounds + 1
+        discard(old)
     return state
 
 
+class Spread:
+    """Edges written once, dealt by ``key``, so that no round shuffles them. A vertex with more of them
+    than ``limit`` has them dealt over several slots; there are a few such vertices at most - fewer
+    than edges / limit - and what is sent along their edges goes to every slot."""
+
+    def __init__(self, edges: DataFrame, key: str = "src", limit: int | None = None):
+        parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        total = edges.count()
+        limit = limit or max(10_000, total // (2 * parts))
+        heavy = edges.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > limit)
+        self.key, self.heavy = key, materialize(heavy.select(F.col(key), F.ceil(F.col("n") / limit).cast("int").alias("slots")), "heavy")
+        other = next(c for c in edges.columns if c != key)
+        slot = F.coalesce(F.pmod(F.xxhash64(other), F.col("slots")), F.lit(0)).cast("int")
+        self.edges = bucketed(edges.join(F.broadcast(self.heavy), key, "left").withColumn("slot", slot).drop("slots"), "spread-edges", key, "slot")
+
+    def join(self, rows: DataFrame) -> DataFrame:
+        """rows, which have the key, with each of its edges."""
+        slots = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("slots"), F.lit(1)) - 1))
+        sent = rows.join(F.broadcast(self.heavy), self.key, "left").withColumn("slot", slots).drop("slots")
+        return sent.join(self.edges, [self.key, "slot"]).drop("slot")
+
+    def discard(self) -> None:
+        discard(self.edges, self.heavy)
+
+
+#: Rounds of changes that are kept apart before they are merged into the table of all distances.
+FOLD = 16
+
+
 def least_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(source, id, dist): the least weight of a path from each seed row (source, id, dist), for the
-    vertices one reaches; edges (src, dst, w), w >= 0. All sources run in one loop."""
+    vertices one reaches; edges (src, dst, w), w >= 0. All sources run in one loop.
+
+    A round sends what changed in the last one along its edges and writes only what that improves;
+    the table of all distances is rewritten every ``FOLD`` rounds, and between them only read where
+    the messages meet it."""
     edges = materialize(edges.select("src", "dst", "w"), "edges")
     low = edges.agg(F.min("w")).first()[0]
     if low is not None and low < 0:
@@ -64,14 +99,33 @@ def least_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     kind = dict(edges.dtypes)["w"]
     if is_compact(edges):
         return _least_paths_compact(edges, seeds, kind)
-
-    def step(state: DataFrame) -> DataFrame:
-        sent = state.filter("active").join(edges, state.id == edges.src).groupBy("source", F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
-        met = state.drop("active").join(sent, ["source", "id"], "full")
-        return met.select("source", "id", F.least("dist", "new").alias("dist"), F.coalesce(F.col("new") < F.col("dist"), F.col("new").isNotNull()).alias("active"))
-
-    first = seeds.groupBy("source", "id").agg(F.min("dist").cast(kind).alias("dist")).withColumn("active", F.lit(True))
-    return fixpoint(first, step, what="paths").drop("active")
+    routes, place = Spread(edges), ["source", "id"]
+    discard(edges)
+
+    def least(tables: list[DataFrame]) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, tables).groupBy(*place).agg(F.min("dist").alias("dist"))
+
+    front = materialize(seeds.groupBy(*place).agg(F.min("dist").cast(kind).alias("dist")), "front")
+    base, later = bucketed(front, "paths", *place), []
+    while not front.isEmpty():
+        sent = routes.join(front.withColumnRenamed("id", "src")).groupBy("source", F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
+        sent = materialize(sent, "messages")
+        met = sent.select(*place)
+        known = least([x.join(met, place) for x in (base, *later)]).withColumnRenamed("dist", "old")
+        better = sent.join(known, place, "left").filter(F.col("old").isNull() | (F.col("dist") < F.col("old"))).select(*place, "dist")
+        if not later:
+            discard(front)
+        front = materialize(better, "front")
+        discard(sent)
+        later.append(front)
+        if len(later) == FOLD:
+            old, base = base, bucketed(least([base, *later]), "paths", *place)
+            discard(old, *later[:-1])
+            later = []
+    found = materialize(least([base, *later]), "paths")
+    discard(base, front, *later)
+    routes.discard()
+    return found
 
 
 class Adjacency:
