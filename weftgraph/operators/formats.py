@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators.ranks import ORACLES as RANKS
 from weftgraph.operators.ranks import betweenness
 from weftgraph.operators.traversal import bfs
 from weftgraph.plans.fixtures import HUB, SPARSE, USER, cte, edges, sql
@@ -154,11 +155,29 @@ def _lines(write):
     return query
 
 
+def _stored(spark, sf_dir) -> Graph:
+    path = scratch_path(spark, "stored")
+    gr.write_gr(_dense(spark, sf_dir), path)
+    return gr.read_gr(spark, path)
+
+
 def _q_matrix(spark, sf_dir):
     path = scratch_path(spark, "matrix")
     gr.write_matrix(_dense(spark, sf_dir), path)
-    content = spark.read.format("binaryFile").load(path).select("content")
-    return content.select(F.octet_length("content").cast("long").alias("bytes"))
+    return gr.read_matrix(spark, path)
+
+
+def _q_circuit(spark, sf_dir):
+    """The parts of a netlist file, as they are read."""
+    from weftgraph.sources.netlist import parse_netlist, write_netlist
+
+    path = scratch_path(spark, "netlist")
+    write_netlist(spark, path, 16, 12345, 54321)
+    found = parse_netlist(spark, path)
+    gates = found["gates"].select(F.lit("gate").alias("part"), "out", "fn", F.concat_ws(",", "in1", "in2").alias("ins"), "delay")
+    pulses = found["stimuli"].select(F.lit("pulse").alias("part"), F.col("net").alias("out"), "value", F.lit(None).cast("string"), "time")
+    wanted = found["expected"].select(F.lit("want").alias("part"), F.col("net").alias("out"), "value", F.lit(None).cast("string"), F.lit(None).cast("long"))
+    return gates.union(pulses).union(wanted)
 
 
 def _q_sorted(spark, sf_dir):
@@ -256,7 +275,7 @@ QUERIES = {
     "src_gr_mem": _q_gr_mem,
     "src_gr_arrays": _q_gr_arrays,
     "src_parser": lambda s, d: text.begin_offsets(_dense(s, d)),
-    "src_lc": lambda s, d: _dense(s, d).edges.repartition("src").groupBy("src").agg(F.count("*").alias("n"), F.sum("dst").alias("total")),
+    "src_lc": lambda s, d: _stored(s, d).edges.repartition("src").groupBy("src").agg(F.count("*").alias("n"), F.sum("dst").alias("total")),
     "src_nodedata": _q_nodedata,
     "src_edgelist": _round_trip(lambda g, p: text.write_edge_list(g.edges, p), text.read_edge_list, "src", "dst", "w"),
     "src_dimacs": _round_trip(text.write_dimacs, text.read_dimacs, "src", "dst", "w"),
@@ -270,7 +289,7 @@ QUERIES = {
     "src_pr_el": _round_trip(lambda g, p: text.write_sorted_edges(g.edges, p), text.read_ranked_edges, "src", "dst"),
     "src_sssp_txt": _round_trip(text.write_counted_edges, text.read_counted_edges, "src", "dst", "w"),
     "src_pta": _q_pta,
-    "src_netlist": _q_netlist,
+    "src_netlist": _q_circuit,
     "src_triangle": _q_triangle,
     "src_femap": _q_femap,
     "src_points": _q_points,
@@ -325,7 +344,11 @@ SELECT id, CAST(sum(d) OVER (ORDER BY id) - d AS BIGINT) AS "from" FROM c""",
     "src_metis": f"WITH {cte('sparse')} SELECT src, dst, CAST(1 AS BIGINT) AS w FROM e",
     "src_symm_gr": f"WITH {cte('part')} SELECT src, dst, max(w) AS w FROM e WHERE src <> dst GROUP BY 1, 2",
     "src_pta": "SELECT CAST(s_nationkey AS BIGINT) AS src, 100 + s_suppkey AS dst, CAST(0 AS BIGINT) AS type FROM supplier UNION SELECT 50 + n_regionkey, n_nationkey, 1 FROM nation UNION SELECT 60 + r_regionkey, 50 + r_regionkey, 2 FROM region UNION SELECT n_nationkey, 50 + (n_regionkey + 1) % 5, 3 FROM nation",
-    "src_netlist": "SELECT CAST(17 AS BIGINT) AS outputs, CAST(0 AS BIGINT) AS wrong",
+    "src_netlist": """WITH b AS (SELECT unnest(range(16)) AS k), p AS (SELECT * FROM (VALUES ('a', 12345), ('b', 54321)) p(p, x))
+SELECT 'gate' AS part, o || CASE o WHEN 'c' THEN k + 1 ELSE k END AS out, fn, i || k || ',' || j || k AS ins, CAST(d AS BIGINT) AS delay
+FROM b, (VALUES ('p', 'xor2', 'a', 'b', 2), ('g', 'and2', 'a', 'b', 1), ('s', 'xor2', 'p', 'c', 2), ('t', 'and2', 'p', 'c', 1), ('c', 'or2', 'g', 't', 1)) g(o, fn, i, j, d)
+UNION ALL SELECT 'pulse', p || k, CAST(CASE t WHEN 0 THEN 0 ELSE (x >> k) & 1 END AS VARCHAR), NULL, t FROM b, p, (VALUES (0), (1)) t(t) UNION ALL SELECT 'pulse', 'c0', '0', NULL, 0
+UNION ALL SELECT 'want', CASE k WHEN 16 THEN 'c' ELSE 's' END || k, CAST(((12345 + 54321) >> k) & 1 AS VARCHAR), NULL, NULL FROM (SELECT unnest(range(17)) AS k)""",
     "gen_netlist": "SELECT CAST(17 AS BIGINT) AS outputs, CAST(0 AS BIGINT) AS wrong",
     "src_triangle": f"WITH {_P} SELECT id, (id - 1) || ',' || id || ',' || (id + 1) AS corners, x, y, id - 1 AS q1 FROM p WHERE id BETWEEN 1 AND (SELECT count(*) - 2 FROM p)",
     "src_femap": f"WITH {_P} SELECT id + 1 AS id, (id + 1) || ',' || (id + 2) || ',' || (id + 3) AS corners, x, y FROM p WHERE id < (SELECT count(*) - 2 FROM p)",
@@ -349,7 +372,8 @@ SELECT CAST(0 AS BIGINT) AS line, 'AdjacencyGraph' AS value UNION ALL SELECT 1,
 UNION ALL SELECT 3 + id, CAST(CAST(sum(d) OVER (ORDER BY id) - d AS BIGINT) AS VARCHAR) FROM c UNION ALL SELECT 2 + n + k, CAST(dst AS VARCHAR) FROM body, n""",
     "snk_wpbbs": f"WITH {_S}, {_BODY} SELECT CAST(0 AS BIGINT) AS line, 'WeightedEdgeArray' AS value UNION ALL SELECT k, src || ' ' || dst || ' ' || w FROM body",
     "snk_wpbbs_k": f"WITH {_S}, {_BODY} SELECT CAST(0 AS BIGINT) AS line, 'WeightedEdgeArray' AS value UNION ALL SELECT k, src || ' ' || dst || ' ' || printf('%.6f', w / 4) FROM body",
-    "snk_bsml": f"WITH {_S} SELECT 12 + 16 * count(*) AS bytes FROM g",
+    "snk_bsml": f"WITH {_S} SELECT src, dst, CAST(w AS DOUBLE) AS w FROM g",
+    "snk_bc": RANKS["bc"].replace("round(coalesce(b.bc, 0), 6)", "round(round(coalesce(b.bc, 0), 4), 2)"),
     "snk_mesh": "SELECT CAST(0 AS BIGINT) AS clockwise",
     "snk_meshbin": "SELECT vec_id AS id, vec_id - 1 AS p1, vec_id AS p2, vec_id + 1 AS p3 FROM embeddings WHERE vec_id BETWEEN 1 AND (SELECT count(*) - 2 FROM embeddings)",
     "snk_pfp": f"WITH g AS ({USER}) SELECT src, dst, w FROM g UNION ALL SELECT dst, src, 0 FROM g WHERE NOT EXISTS (SELECT 1 FROM g h WHERE h.src = g.dst AND h.dst = g.src)",

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators.reduce import sorted_places
 from weftgraph.operators.traversal import sssp_all
 from weftgraph.plans.engine import Spread, in_one_task, is_compact, numbered, sent_adjacency
 from weftgraph.plans.fixtures import cte, edges
@@ -97,6 +98,11 @@ def top(scores: DataFrame, k: int = TOP) -> DataFrame:
     return scores.orderBy(F.desc("rank"), "id").limit(k)
 
 
+def ranking(scores: DataFrame) -> DataFrame:
+    """(id, place) of all vertices from 1, by rank and then id."""
+    return sorted_places(scores.select("id", "rank"), "_at", F.desc("rank"), "id").select("id", (F.col("_at") + 1).alias("place"))
+
+
 def places(scores: DataFrame, few: DataFrame, name: str) -> DataFrame:
     """(id, name) for a few ids: how many of all come before, by rank and then id; no global sort."""
     own = scores.join(F.broadcast(few.select("id")), "id").select("id", F.col("rank").alias("own"))
@@ -190,9 +196,10 @@ def _q_async(spark, sf_dir):
 
 
 def _q_distance(spark, sf_dir):
+    """Jacobi rounds to the tolerance against the in-place fixpoint."""
     graph = _bip(spark, sf_dir)
-    rounded = lambda k: pagerank(graph, k).select("id", F.round("rank", 12).alias("rank"))
-    return rank_distance(rounded(1), rounded(10)).select(F.round("distance", 9).alias("distance"))
+    rounded = lambda r: r.select("id", F.round("rank", 9).alias("rank"))
+    return rank_distance(rounded(pagerank(graph)), rounded(pagerank_async(graph))).select(F.round("distance", 9).alias("distance"))
 
 
 def _q_top(spark, sf_dir):
@@ -200,9 +207,11 @@ def _q_top(spark, sf_dir):
 
 
 def _q_rank(spark, sf_dir):
-    scores = materialize(_q_sync(spark, sf_dir), "scores")
-    few = scores.filter("id % 100 = 1").orderBy("id").limit(50)
-    return places(scores, few, "place").select("id", (F.col("place") + 1).alias("place"))
+    return ranking(_q_sync(spark, sf_dir))
+
+
+def _q_tolerance(spark, sf_dir):
+    return pagerank(_bip(spark, sf_dir)).select("id", F.round("rank", 9).alias("rank"))
 
 
 def _q_bc(spark, sf_dir):
@@ -218,17 +227,22 @@ t(it, id, r) AS (SELECT 0, id, CAST(1.0 AS DOUBLE) / (SELECT n FROM nv) FROM v U
 SELECT id, round(r, {digits}) AS rank FROM t WHERE it = {k}"""
 
 
-QUERIES = {"pagerank_sync": _q_sync, "pagerank_async": _q_async, "rank_distance": _q_distance, "s_topk": _q_top, "s_rank": _q_rank, "bc": _q_bc}
+#: The first of 100 rounds after which the ranks have changed by the tolerance in sum or less.
+_TOLERANCE = _jacobi(100, 9).replace("SELECT id, round(r, 9)", """, ch AS (SELECT b.it, sum(abs(b.r - a.r)) AS ch FROM t a JOIN t b ON b.id = a.id AND b.it = a.it + 1 GROUP BY 1)
+SELECT id, round(r, 9)""").replace("WHERE it = 100", f"WHERE it = (SELECT min(it) FROM ch WHERE ch <= {TOLERANCE})")
+
+
+QUERIES = {"pagerank_sync": _q_sync, "pagerank_async": _q_async, "pagerank_tolerance": _q_tolerance, "rank_distance": _q_distance, "s_topk": _q_top, "s_rank": _q_rank, "bc": _q_bc}
 ORACLES = {
     "pagerank_sync": _jacobi(10, 12),
     "pagerank_async": _jacobi(170, 9),
-    "rank_distance": f"""WITH a AS ({_jacobi(1, 12)}), b AS ({_jacobi(10, 12)}),
+    "pagerank_tolerance": _TOLERANCE,
+    "rank_distance": f"""WITH a AS ({_TOLERANCE}), b AS ({_jacobi(170, 9)}),
 p AS (SELECT id, row_number() OVER (ORDER BY rank DESC, id) AS p FROM a), q AS (SELECT id, row_number() OVER (ORDER BY rank DESC, id) AS q FROM b),
 m AS (SELECT id, p, q FROM p JOIN q USING (id) WHERE p <= 100 OR q <= 100)
 SELECT round(avg(CAST((x.p < x.q) <> (y.p < y.q) AS DOUBLE)), 9) AS distance FROM m x JOIN m y ON x.id < y.id""",
     "s_topk": f"SELECT * FROM ({_jacobi(10, 12)}) ORDER BY rank DESC, id LIMIT 100",
-    "s_rank": f"""WITH a AS ({_jacobi(10, 12)}), p AS (SELECT id, row_number() OVER (ORDER BY rank DESC, id) AS place FROM a)
-SELECT id, place FROM p WHERE id % 100 = 1 ORDER BY id LIMIT 50""",
+    "s_rank": f"SELECT id, row_number() OVER (ORDER BY rank DESC, id) AS place FROM ({_jacobi(10, 12)})",
     "bc": f"""WITH RECURSIVE {cte("user", False)},
 d(source, id, dist) USING KEY (source, id) AS (SELECT DISTINCT src, src, 0 FROM e UNION
   SELECT x.source, x.dst, x.m FROM (SELECT d.source, e.dst, min(d.dist + 1) AS m FROM d JOIN e ON d.id = e.src GROUP BY 1, 2) x

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftgraph.plans.fixtures import sql
+from weftgraph.plans.scratch import materialize
 
 
 def count_if(df: DataFrame, condition: Column | str, name: str = "n") -> DataFrame:
@@ -44,6 +46,16 @@ def nth_element(df: DataFrame, k: int, *order: Column | str) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
+def sorted_places(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """df in the order, and the place of each row from 0: ranges are sorted apart, and what goes between
+    them is the number of rows of each. No task holds more than its range."""
+    spread = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = spread.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))  # a row a range
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return spread.withColumn("_nth", within).join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_nth")).drop("_part", "_base", "_nth")
+
+
 def morton(x: Column, y: Column, bits: int = 16) -> Column:
     """Bits of two non-negative integers, interleaved, x lowest."""
 
@@ -102,7 +114,7 @@ def _q_scale(spark, sf_dir):
     return own.select("l_orderkey", *(F.round(c, 9).alias(c) for c in ("l_quantity", "l_discount", "l_tax")))
 
 
-_SORT = "SELECT l_orderkey, l_partkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_partkey LIMIT 1000"
+_SORT = "SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) - 1 AS place FROM lineitem"
 QUERIES = {
     "a_countif": lambda s, d: count_if(_lines(s, d), "l_quantity > 30"),
     "a_findif": lambda s, d: find_if(s.read.parquet(f"{d}/events.parquet"), "event_id = 42").select("event_id", "user_id", "event_type"),
@@ -118,7 +130,7 @@ QUERIES = {
     "a_mapelem": lambda s, d: _lines(s, d).groupBy("l_suppkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("total")),
     "a_welford": lambda s, d: online_stat(_lines(s, d), "l_quantity", "l_returnflag").select("l_returnflag", "n", *(F.round(c, 6).alias(c) for c in ("mean", "var_samp", "var_pop"))),
     "a_atomic": lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.count("*").alias("increments"), F.max_by("event_id", "ts").alias("last_write")),
-    "s_sort": lambda s, d: nth_element(_lines(s, d), 1000, F.desc("l_extendedprice"), "l_orderkey", "l_partkey").select("l_orderkey", "l_partkey", "l_extendedprice"),
+    "s_sort": lambda s, d: sorted_places(_lines(s, d).select("l_orderkey", "l_linenumber", "l_extendedprice"), "place", F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"),
     "s_part": _q_partition,
     "s_nth": lambda s, d: nth_element(s.read.parquet(f"{d}/orders.parquet"), 50, "o_totalprice", "o_orderkey").select("o_orderkey", "o_totalprice"),
     "s_pq": lambda s, d: sql(s, d, "SELECT user_id, min(struct(ts, event_id)).event_id AS first_event FROM events GROUP BY 1"),

@@ -12,20 +12,41 @@ from weftgraph.sources.text import numbered_lines, write_lines
 #: (kind, pattern with a key and a value group); the first that matches a line counts.
 RULES = (
     ("start", r"^RUN: (Start)()"),
-    ("command", r"^INFO: (CommandLine) (.*)$"),
-    ("variable", r"^RUN: Variable (\w+) = (.*)$"),
-    ("stat", r"^STAT,\(NULL\),(\w+),(.*)$"),
-    ("loop", r"^STAT,(\w+,\w+),(.*)$"),
+    ("variable", r"^RUN: Variable (\S+) = (\S+)"),
+    ("command", r"^(?:RUN|INFO): (CommandLine) (.*)"),
+    ("host", r"^INFO: (Hostname) (.*)"),
+    ("single", r"^STAT SINGLE (\S+ \S+) (.*)"),
+    ("distribution", r"^STAT DISTRIBUTION (\d+ \S+ \S+) (.*)"),
+    ("header", r"^()(STATTYPE.*)"),
+    ("stat", r"^()(STAT,.*)"),
 )
 BLOCK = 1 << 16
 
 
 def scan(lines: DataFrame) -> DataFrame:
-    """(line, kind, key, value) of the lines that a rule matches; a loop's statistic has key-loop."""
+    """(line, kind, key, value) of the lines that a rule matches. The fields of a STAT line are those of
+    the last header before it; the statistic of a loop is key-loop, that of one of its instances
+    key-loop-number."""
     found = F.coalesce(*(F.when(F.col("value").rlike(p), F.struct(F.lit(k).alias("kind"), F.regexp_extract("value", p, 1).alias("key"), F.regexp_extract("value", p, 2).alias("value"))) for k, p in RULES))
     rows = lines.select("line", found.alias("f")).filter("f IS NOT NULL").select("line", "f.*")
-    part = F.split("key", ",")
-    return rows.withColumn("key", F.when(F.col("kind") == "loop", F.concat(F.get(part, F.lit(1)), F.lit("-"), part[0])).otherwise(F.col("key")))
+    own = carried(rows, F.when(F.col("kind") == "header", F.col("value")), "header").filter("kind <> 'header'")
+    name, body, part = F.split("header", ","), F.split("value", ","), F.split("key", " ")
+    field = lambda f: F.get(body, (F.array_position(name, f) - 1).cast("int"))
+    loop = F.when(field("LOOP") != "(NULL)", field("LOOP"))
+    key = F.when(F.col("kind") == "stat", F.concat_ws("-", field("CATEGORY"), loop)).when(F.col("kind") == "single", F.concat_ws("-", part)).when(F.col("kind") == "distribution", F.concat_ws("-", F.get(part, F.lit(1)), F.get(part, F.lit(2)), part[0]))
+    value = F.when(F.col("kind") == "stat", field("sum")).otherwise(F.col("value"))
+    return own.select("line", "kind", F.coalesce(key, "key").alias("key"), value.alias("value"))
+
+
+def carried(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """The rows with the last value that is not null up to their line: within blocks of lines, and over
+    the blocks' last ones."""
+    own = materialize(rows.withColumn("_v", value).withColumn("_block", F.floor(F.col("line") / BLOCK)), "log")
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = own.groupBy("_block").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("line"))).alias("_last"))  # a row a block
+    base = lasts.select("_block", F.last("_last", ignorenulls=True).over(before).alias("_base"))
+    within = F.last("_v", ignorenulls=True).over(Window.partitionBy("_block").orderBy("line"))
+    return own.withColumn("_in", within).join(base, "_block").withColumn(name, F.coalesce("_in", "_base")).drop("_v", "_block", "_in", "_base")
 
 
 def with_run(rows: DataFrame) -> DataFrame:
@@ -122,25 +143,33 @@ def grid(spark: SparkSession, **ranges: str) -> DataFrame:
 
 
 def _log(spark, sf_dir) -> DataFrame:
-    """A log with five to six lines a run, a run an event, in a file."""
+    """A log with eleven lines a run, a run an event, in a file."""
     own = spark.read.parquet(f"{sf_dir}/events.parquet")
     program = F.concat(F.lit("./bin/"), F.col("event_type"), F.lit(" -algo="), F.element_at(F.array(F.lit("sync"), F.lit("async")), (F.col("user_id") % 2 + 1).cast("int")))
+    swapped = F.col("event_id") % 3 == 0  # headers with another order of the fields
+
+    def stat(loop: str, key: str, value: Column) -> Column:
+        return F.when(swapped, F.concat_ws(",", F.lit("STAT"), F.lit(key), F.lit(loop), value, F.lit(1), value)).otherwise(F.concat_ws(",", F.lit("STAT"), F.lit(loop), F.lit(key), F.lit(1), value, value))
+
     made = F.array(
         F.lit("RUN: Start"),
         F.concat(F.lit("INFO: CommandLine "), program),
-        F.concat(F.lit("RUN: Variable Hostname = h"), F.col("user_id") % 3),
+        F.concat(F.lit("INFO: Hostname h"), F.col("user_id") % 3),
         F.concat(F.lit("RUN: Variable Threads = "), F.col("user_id") % 4 + 1),
         F.lit("noise that no rule knows"),
-        F.concat(F.lit("STAT,(NULL),Time,"), F.floor(F.col("value") * 100)),
-        F.concat(F.lit("STAT,main,Iterations,"), F.col("event_id") % 10),
-        F.concat(F.lit("STAT,main,Iterations,"), F.col("event_id") % 3),
+        F.when(swapped, F.lit("STATTYPE,CATEGORY,LOOP,sum,n,T0")).otherwise(F.lit("STATTYPE,LOOP,CATEGORY,n,sum,T0")),
+        stat("(NULL)", "Time", F.floor(F.col("value") * 100)),
+        stat("main", "Iterations", F.col("event_id") % 10),
+        stat("main", "Iterations", F.col("event_id") % 3),
+        F.concat(F.lit("STAT SINGLE Conflicts main "), F.col("event_id") % 7),
+        F.concat(F.lit("STAT DISTRIBUTION "), F.col("event_id") % 2, F.lit(" Steps main "), F.col("event_id") % 5),
     )
     path = scratch_path(spark, "log")
     write_lines(own.select("event_id", F.posexplode(made).alias("k", "value")), path, "event_id", "k")
     return numbered_lines(spark, path)
 
 
-KEYS = ["CommandLine", "Hostname", "Iterations-main", "Threads", "Time"]
+KEYS = ["CommandLine", "Conflicts-main", "Hostname", "Iterations-main", "Threads", "Time"]
 
 
 def _runs(spark, sf_dir) -> DataFrame:
@@ -168,7 +197,7 @@ def _q_range(spark, sf_dir):
 
 
 QUERIES = {
-    "rep_scan": lambda s, d: scan(_log(s, d)).groupBy("kind", "key").agg(F.count("*").alias("n")),
+    "rep_scan": lambda s, d: scan(_log(s, d)).groupBy("kind", "key").agg(F.count("*").alias("n"), F.sum(F.try_to_number("value", F.lit("999999999")).cast("long")).alias("total")),
     "rep_pivot": lambda s, d: _runs(s, d).select("run", *(F.col(f"`{k}`").alias(k.replace("-", "_")) for k in KEYS)),
     "rep_project": lambda s, d: project(_table(s, d), ["run", "Algo", "Time", "Threads"], ["Threads"]),
     "rep_csv": _q_csv,
@@ -185,13 +214,15 @@ QUERIES = {
     "rep_product": lambda s, d: grid(s, threads="1:8", delta="0:10:5", seed="1"),
 }
 _T = """t AS (SELECT row_number() OVER (ORDER BY event_id) AS run, event_type AS Algo, CASE user_id % 2 WHEN 0 THEN 'sync' ELSE 'async' END AS Kind,
-  'h' || user_id % 3 AS Hostname, CAST(user_id % 4 + 1 AS INTEGER) AS Threads, CAST(floor(value * 100) AS DOUBLE) AS Time, CAST(event_id % 10 + event_id % 3 AS DOUBLE) AS Iterations FROM events)"""
+  'h' || user_id % 3 AS Hostname, CAST(user_id % 4 + 1 AS INTEGER) AS Threads, CAST(floor(value * 100) AS DOUBLE) AS Time, CAST(event_id % 10 + event_id % 3 AS DOUBLE) AS Iterations, event_id % 7 AS Conflicts FROM events)"""
 _M = "m AS (SELECT Algo, Hostname, max(Time) FILTER (Threads = 1) AS t1, max(Time) FILTER (Threads = 2) AS t2 FROM t GROUP BY 1, 2)"
 _B = "r AS (SELECT Algo, Hostname, min(Time) AS Ref FROM t WHERE Threads = 1 GROUP BY 1, 2), b AS (SELECT Algo, Hostname, Threads, avg(Time) AS Mean, Ref FROM t LEFT JOIN r USING (Algo, Hostname) GROUP BY 1, 2, 3, Ref)"
 ORACLES = {
-    "rep_scan": """SELECT k AS kind, key, count(*) AS n FROM events, (VALUES ('start', 'Start'), ('command', 'CommandLine'), ('variable', 'Hostname'), ('variable', 'Threads'),
-  ('stat', 'Time'), ('loop', 'Iterations-main'), ('loop', 'Iterations-main')) x(k, key) GROUP BY 1, 2""",
-    "rep_pivot": f"""WITH {_T} SELECT run, './bin/' || Algo || ' -algo=' || Kind AS CommandLine, Hostname, CAST(Iterations AS VARCHAR) AS Iterations_main,
+    "rep_scan": """WITH x AS (SELECT 'start' AS kind, 'Start' AS key, NULL::BIGINT AS v FROM events UNION ALL SELECT 'command', 'CommandLine', NULL FROM events UNION ALL SELECT 'host', 'Hostname', NULL FROM events
+UNION ALL SELECT 'variable', 'Threads', user_id % 4 + 1 FROM events UNION ALL SELECT 'stat', 'Time', CAST(floor(value * 100) AS BIGINT) FROM events UNION ALL SELECT 'stat', 'Iterations-main', event_id % 10 FROM events
+UNION ALL SELECT 'stat', 'Iterations-main', event_id % 3 FROM events UNION ALL SELECT 'single', 'Conflicts-main', event_id % 7 FROM events UNION ALL SELECT 'distribution', 'Steps-main-' || event_id % 2, event_id % 5 FROM events)
+SELECT kind, key, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM x GROUP BY 1, 2""",
+    "rep_pivot": f"""WITH {_T} SELECT run, './bin/' || Algo || ' -algo=' || Kind AS CommandLine, CAST(CAST(Conflicts AS DOUBLE) AS VARCHAR) AS Conflicts_main, Hostname, CAST(Iterations AS VARCHAR) AS Iterations_main,
   CAST(Threads AS VARCHAR) AS Threads, CAST(Time AS VARCHAR) AS Time FROM t""",
     "rep_project": f"WITH {_T} SELECT Algo, Time, run FROM t",
     "rep_csv": f"WITH {_T} SELECT Algo, Hostname, Iterations, Kind, Threads, Time, run FROM t",

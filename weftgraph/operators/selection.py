@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from weftgraph.operators.components import component_labels, connected_components
 from weftgraph.operators.traversal import parents
 from weftgraph.plans.engine import in_one_task, is_compact, least_paths, numbered
-from weftgraph.plans.fixtures import cte, edges
+from weftgraph.plans.fixtures import cte, edges, sql
 from weftgraph.plans.graph import Graph, reversed_edges
 from weftgraph.plans.scratch import materialize
 
@@ -353,7 +353,7 @@ def _q_spantree(spark, sf_dir):
 def _q_prim(spark, sf_dir):
     graph = _sparse(spark, sf_dir)
     root = graph.edges.agg(F.min("src")).first()[0]
-    return forest_from(graph, root).agg(F.count("*").alias("tree_edges"))
+    return forest_from(graph, root).agg(F.count("*").alias("tree_edges"), F.sum("w").alias("weight"))
 
 
 def _q_mis_check(spark, sf_dir):
@@ -366,6 +366,13 @@ def _q_cover(spark, sf_dir):
     return node_cover(graph, matching(graph)).select("uncovered", (F.col("cover") - F.col("matched")).alias("gap"))
 
 
+def _q_matching(spark, sf_dir):
+    """Of a graph so small that its oracle can try all sets of left vertices."""
+    return matching(Graph.from_edges(sql(spark, sf_dir, _FEW).selectExpr("CAST(src AS BIGINT) src", "CAST(dst AS BIGINT) dst"))).agg(F.count("*").alias("matched"))
+
+
+#: Twelve nations and their suppliers' ranges of account balance, thinned.
+_FEW = "SELECT DISTINCT s_nationkey AS src, 100 + CAST(floor(s_acctbal / 1500) AS BIGINT) AS dst FROM supplier WHERE s_nationkey < 12 AND s_suppkey % 3 < 2"
 _CC = """t{k}(id, c) USING KEY (id) AS (SELECT id, id FROM v UNION
   SELECT x.dst, x.m FROM (SELECT e.dst, min(t{k}.c) AS m FROM t{k} JOIN e ON t{k}.id = e.src WHERE e.w <= {k} GROUP BY 1) x
   JOIN recurring.t{k} r ON r.id = x.dst WHERE x.m < r.c)"""
@@ -377,13 +384,13 @@ _ALL_CC = f"WITH RECURSIVE {cte('sparse')}, {_CC.format(k=7)}"
 QUERIES = {
     "mis": lambda s, d: independent_set(_sparse(s, d)),
     "mis_verify": _q_mis_check,
-    "mst_boruvka": _weight(minimum_forest),
+    "mst_boruvka": _weight(lambda g: minimum_forest(g, contract=False)),
     "mst_morph": _weight(lambda g: minimum_forest(g, contract=True)),
     "mst_kruskal": _weight(forest_by_weight),
     "mst_prim": _q_prim,
     "mst_edges": lambda s, d: minimum_forest(_sparse(s, d)),
     "spantree": _q_spantree,
-    "matching": lambda s, d: matching(_sparse(s, d)).agg(F.count("*").alias("matched")),
+    "matching": _q_matching,
     "matching_verify": _q_cover,
 }
 ORACLES = {
@@ -397,7 +404,12 @@ SELECT id, s = 1 AS in_set FROM t""",
     "mst_boruvka": _FOREST,
     "mst_morph": _FOREST,
     "mst_kruskal": _FOREST,
-    "mst_prim": f"{_ALL_CC} SELECT count(*) - 1 AS tree_edges FROM t7 WHERE c = (SELECT c FROM t7 WHERE id = (SELECT min(src) FROM g))",
+    "mst_prim": f"""WITH RECURSIVE {cte("sparse")}, {", ".join(_CC.format(k=k) for k in _WEIGHTS)}, mine AS (SELECT id FROM t7 WHERE c = (SELECT c FROM t7 WHERE id = (SELECT min(src) FROM g))),
+n AS (SELECT {", ".join(f"(SELECT count(DISTINCT c) FROM t{k} JOIN mine USING (id)) AS n{k}" for k in _WEIGHTS)}, (SELECT count(*) FROM mine) AS n0)
+SELECT n0 - 1 AS tree_edges, {" + ".join(f"(n{k} - 1)" for k in range(7))} AS weight FROM n""",
     "spantree": f"{_ALL_CC} SELECT count(DISTINCT c) AS num_trees, count(*) - count(DISTINCT c) AS tree_edges FROM t7",
+    "matching": f"""WITH g AS ({_FEW}), l AS (SELECT src, row_number() OVER (ORDER BY src) - 1 AS k FROM (SELECT DISTINCT src FROM g)), n AS (SELECT count(*) AS n FROM l),
+s AS (SELECT unnest(range(CAST(1 << n AS BIGINT))) AS s FROM n), h AS (SELECT s, count(DISTINCT dst) AS near FROM s JOIN l ON (s >> k) & 1 = 1 JOIN g USING (src) GROUP BY 1)
+SELECT n - coalesce(greatest(max(bit_count(s) - near), 0), 0) AS matched FROM n LEFT JOIN h ON true GROUP BY n""",
     "matching_verify": "SELECT CAST(0 AS BIGINT) AS uncovered, CAST(0 AS BIGINT) AS gap",
 }

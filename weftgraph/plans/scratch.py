@@ -25,9 +25,15 @@ def _hadoop(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system that Spark would take it to."""
+    files, where = _hadoop(spark, path)
+    return files.makeQualified(where).toString()
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder; the file system deletes it when the driver's JVM ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = qualified(spark, f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}")
     files, where = _hadoop(spark, path)
     files.deleteOnExit(where)
     return path

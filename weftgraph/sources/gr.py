@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from weftgraph.plans.graph import Graph
+from weftgraph.plans.scratch import materialize, qualified
 
 HEAD, HEAD_SIZE = "<4Q", 32
 SCHEMA = "src long, dst long, w long"
@@ -129,7 +130,7 @@ def from_arrays(spark: SparkSession, ends: list[int], outs: list[int], values: l
 def write_gr(graph: Graph, path: str, width: int = 4) -> None:
     """One file. The format has one offset array before all edges, so one task writes it, in order
     and in pieces: the degrees first, then targets, then values; none of them is held whole."""
-    nodes = graph.size()
+    nodes, path = graph.size(), qualified(graph.edges.sparkSession, path)
     by_source = graph.edges.select("src", "dst", "w").repartition(1).sortWithinPartitions("src", "dst")
 
     def run(stream):
@@ -138,7 +139,9 @@ def write_gr(graph: Graph, path: str, width: int = 4) -> None:
         opened = [filesystem.open_output_stream(_open(p)[1]) for p in spools]
         for batch in stream:
             src = batch.column(0).to_numpy(zero_copy_only=False)
-            degrees += np.bincount(src, minlength=nodes)[:nodes]
+            if len(src):  # in order: a batch is a range of sources
+                counted = np.bincount(src - src[0])
+                degrees[src[0] : src[0] + len(counted)] += counted
             opened[0].write(batch.column(1).to_numpy(zero_copy_only=False).astype("<u4").tobytes())
             if width:
                 opened[1].write(batch.column(2).to_numpy(zero_copy_only=False).astype(f"<i{width}").tobytes())
@@ -161,21 +164,45 @@ def write_gr(graph: Graph, path: str, width: int = 4) -> None:
 
 
 def write_matrix(graph: Graph, path: str) -> None:
-    """Binary sparse matrix: u32 n, n, nonzeros; rows; columns (from 1); f64 values, 1.0 if null."""
-    n, m = graph.size(), graph.size_edges()
-    ordered = graph.edges.select("src", "dst", F.coalesce(F.col("w").cast("double"), F.lit(1.0)).alias("w")).repartition(1).sortWithinPartitions("src", "dst")
+    """Binary sparse matrix: u32 n, n, nonzeros; rows; columns (from 1); f64 values, 1.0 if null. The
+    format is one file, so one task writes it: thrice through the sorted edges, batch by batch."""
+    n, m, path = graph.size(), graph.size_edges(), qualified(graph.edges.sparkSession, path)
+    ordered = materialize(graph.edges.select("src", "dst", F.coalesce(F.col("w").cast("double"), F.lit(1.0)).alias("w")), "matrix-edges")
+    if max(n, m) >= 1 << 32:
+        raise ValueError("the format counts nodes and entries in 32 bits")
+    parts = [ordered.select(F.lit(k).alias("part"), "src", "dst", value.alias("v")) for k, value in enumerate((F.col("src") + 1.0, F.col("dst") + 1.0, F.col("w")))]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).repartition(1).sortWithinPartitions("part", "src", "dst")
 
     def run(stream):
         filesystem, local = _open(path)
-        got = [[], [], []]
-        for batch in stream:
-            for k, (kind, add) in enumerate((("<u4", 1), ("<u4", 1), ("<f8", 0))):
-                got[k].append((batch.column(k).to_numpy(zero_copy_only=False) + add).astype(kind).tobytes())
         with filesystem.open_output_stream(local) as f:
-            f.write(struct.pack("<3I", n, n, m) + b"".join(b"".join(g) for g in got))
+            f.write(struct.pack("<3I", n, n, m))
+            for batch in stream:
+                part, v = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 3))
+                f.write(v[part < 2].astype("<u4").tobytes() + v[part == 2].astype("<f8").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([m])], names=["edges"])
 
-    ordered.mapInArrow(run, "edges long").collect()
+    rows.mapInArrow(run, "edges long").collect()
+
+
+def read_matrix(spark: SparkSession, path: str, step: int = 1 << 20) -> DataFrame:
+    """(src, dst, w) of a binary sparse matrix; tasks read ranges of its entries."""
+    path = qualified(spark, path)
+    filesystem, local = _open(path)
+    with filesystem.open_input_file(local) as f:
+        _, _, m = struct.unpack("<3I", f.read(12))
+
+    def run(stream):
+        filesystem, local = _open(path)
+        for batch in stream:
+            for first in batch.column(0).to_pylist():
+                k = min(step, m - first * step)
+                with filesystem.open_input_file(local) as f:
+                    got = [np.frombuffer(f.read_at(k * size, 12 + skip * m + first * step * size), kind) for kind, size, skip in (("<u4", 4, 0), ("<u4", 4, 4), ("<f8", 8, 8))]
+                yield pa.RecordBatch.from_arrays([pa.array(got[0].astype(np.int64) - 1), pa.array(got[1].astype(np.int64) - 1), pa.array(got[2])], names=["src", "dst", "w"])
+
+    ranges = -(-m // step)
+    return spark.range(0, ranges, 1, max(1, min(ranges, 4096))).mapInArrow(run, "src long, dst long, w double")
 
 
 def write_sorted_graph(graph: Graph, data: str, path: str) -> None:
