@@ -3,6 +3,8 @@ triangulation and refinement as a bounded kernel with certificates."""
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 
 import pandas as pd
@@ -230,11 +232,47 @@ def delaunay(points: DataFrame) -> DataFrame:
     return in_one_task(_bounded(points), kernel, "id long, p1 long, p2 long, p3 long")
 
 
-def refine(points: DataFrame, min_angle: float = MIN_ANGLE, floor: float = 0.01) -> DataFrame:
-    """Triangles (x1 .. y3) after refinement: while an angle is below ``min_angle``, the circle's
-    centre of such a triangle is added, or the middle of its longest side where the centre lies
-    outside the points' box. Triangles whose longest side is below ``floor`` of the box are left:
-    that, not a count, ends the refinement. The box's corners are added first."""
+class Border:
+    """The sides of a box, parted by the mesh's points on them. No point may lie within the circle over
+    a part: a part that a point would come so near to is halved instead."""
+
+    def __init__(self, mesh: Triangulation, low: tuple[float, float], high: tuple[float, float]):
+        self.mesh = mesh
+        points = mesh.points[3:]
+        self.sides = [(axis, fixed, sign, sorted({p[axis] for p in points if p[1 - axis] == fixed})) for axis in (0, 1) for fixed, sign in ((low[1 - axis], 1), (high[1 - axis], -1))]
+        for side in self.sides:
+            axis, fixed, _, parts = side
+            near = sorted((abs(p[1 - axis] - fixed), p[axis]) for p in points if p[1 - axis] != fixed)
+            k = 0
+            while k + 1 < len(parts):
+                middle, radius = (parts[k] + parts[k + 1]) / 2, (parts[k + 1] - parts[k]) / 2 * (1 - 1e-9)
+                if any(math.hypot(d, v - middle) < radius for d, v in itertools.takewhile(lambda x, r=radius: x[0] < r, near)):
+                    self.halve(side, k)
+                else:
+                    k += 1
+
+    def halve(self, side: tuple, k: int) -> None:
+        axis, fixed, _, parts = side
+        middle = (parts[k] + parts[k + 1]) / 2
+        parts.insert(k + 1, middle)
+        self.mesh.add((middle, fixed) if axis == 0 else (fixed, middle))
+
+    def keeps_off(self, p: tuple[float, float]) -> bool:
+        """Whether p is outside the box or within a part's circle; then that part is halved."""
+        for side in self.sides:
+            axis, fixed, sign, parts = side
+            along, across = p[axis], (p[1 - axis] - fixed) * sign
+            k = min(max(bisect.bisect_right(parts, along) - 1, 0), len(parts) - 2)
+            if k >= 0 and (across < 0 or math.hypot(along - (parts[k] + parts[k + 1]) / 2, across) < (parts[k + 1] - parts[k]) / 2 * (1 - 1e-9)):
+                self.halve(side, k)
+                return True
+        return False
+
+
+def refine(points: DataFrame, min_angle: float = MIN_ANGLE) -> DataFrame:
+    """Triangles (x1 .. y3) of the points' box without an angle below ``min_angle``: as long as there
+    is one, its circle's centre is added, or where that would come too near to the border, the middle
+    of the part of the border it is near to. The box's corners are added first."""
     limit = math.cos(math.radians(min_angle))
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -242,35 +280,33 @@ def refine(points: DataFrame, min_angle: float = MIN_ANGLE, floor: float = 0.01)
             return pd.DataFrame({c: [] for c in CORNERS})
         pdf = _in_order(pdf.astype({"x": float, "y": float}))
         (lx, ly), (hx, hy) = pdf[["x", "y"]].min(), pdf[["x", "y"]].max()
-        mesh, least = Triangulation((lx, ly), (hx, hy)), floor * max(hx - lx, hy - ly)
+        mesh = Triangulation((lx, ly), (hx, hy))
         for p in [(lx, ly), (lx, hy), (hx, ly), (hx, hy), *pdf[["x", "y"]].itertuples(index=False, name=None)]:
             mesh.add(p)
+        border = Border(mesh, (lx, ly), (hx, hy))
 
-        def worst(t):
+        def sharp(t) -> bool:
             a, b, c = (mesh.points[i] for i in mesh.triangles[t])
-            out = []
             for p, q, r in ((a, b, c), (b, c, a), (c, a, b)):
                 u, v = (q[0] - p[0], q[1] - p[1]), (r[0] - p[0], r[1] - p[1])
-                n = math.hypot(*u) * math.hypot(*v)
-                out.append((u[0] * v[0] + u[1] * v[1]) / n if n else 1.0)
-            return max(out), max(((math.dist(p, q), p, q) for p, q in ((a, b), (b, c), (c, a))))
+                if u[0] * v[0] + u[1] * v[1] > limit * math.hypot(*u) * math.hypot(*v):
+                    return True
+            return False
 
-        seen: set[int] = set()
-        while todo := [t for t in mesh.triangles if t not in seen and min(mesh.triangles[t]) > 2]:
+        good: set[int] = set()
+        while todo := [t for t in mesh.triangles if t not in good and min(mesh.triangles[t]) > 2]:
             for t in todo:
                 if t not in mesh.triangles:
                     continue
-                seen.add(t)
-                cosine, (longest, p, q) = worst(t)
-                if cosine <= limit or longest < least:
+                if not sharp(t):
+                    good.add(t)
                     continue
                 (ax, ay), (bx, by), (cx, cy) = (mesh.points[i] for i in mesh.triangles[t])
                 d = 2 * ((bx - ax) * (cy - ay) - (cx - ax) * (by - ay))
                 b2, c2 = (bx - ax) ** 2 + (by - ay) ** 2, (cx - ax) ** 2 + (cy - ay) ** 2
                 new = (ax + ((cy - ay) * b2 - (by - ay) * c2) / d, ay + ((bx - ax) * c2 - (cx - ax) * b2) / d) if d else None
-                if new is None or not (lx <= new[0] <= hx and ly <= new[1] <= hy):
-                    new = ((p[0] + q[0]) / 2, (p[1] + q[1]) / 2)
-                mesh.add(new)
+                if new is None or not border.keeps_off(new) and mesh.add(new) is None:
+                    good.add(t)  # flat, or its centre is a point already: numbers as near as floats are
         rows = [sum((mesh.points[i] for i in t), ()) for t in mesh.triangles.values() if min(t) > 2]
         return pd.DataFrame(sorted(rows), columns=CORNERS)
 
@@ -311,17 +347,20 @@ def _q_incircle(spark, sf_dir):
     return full.select("id", (o > 0).alias("left_turn"), (in_circle(*corners(), F.col("px"), F.col("py")) * F.signum(o) > 0).alias("inside"))
 
 
-def _q_near(exact):
-    def query(spark, sf_dir):
-        found = nearest(_points(spark, sf_dir), exact)
-        return found.select("id", "near", F.round("d2", 12).alias("d2")) if exact else found.agg(F.count("*").alias("n"), F.count_if(F.col("near") == F.col("id")).alias("own"))
+def _q_near(spark, sf_dir):
+    return nearest(_points(spark, sf_dir), True).select("id", "near", F.round("d2", 12).alias("d2"))
 
-    return query
+
+def _q_some_near(spark, sf_dir):
+    """The neighbours found without ``exact``: none farther than 3 times the nearest one."""
+    own = _points(spark, sf_dir)
+    exact = nearest(own, True).select("id", F.col("d2").alias("least"))
+    met = nearest(own, False).join(exact, "id")
+    return met.agg(F.count("*").alias("n"), F.count_if(F.col("near") == F.col("id")).alias("own"), F.count_if(F.col("d2") > 9 * F.col("least")).alias("beyond"), F.count_if(F.col("d2") < F.col("least") - 1e-12).alias("nearer"))
 
 
 def _q_kd(spark, sf_dir):
-    leaves = kd_leaves(_points(spark, sf_dir)).groupBy("leaf").agg(F.count("*").alias("n"))
-    return leaves.agg(F.sum("n").alias("points"), (F.max("n") <= 32).alias("small"))
+    return kd_leaves(_points(spark, sf_dir)).groupBy("leaf").agg(F.count("*").alias("n"), F.min("id").alias("first"))
 
 
 def _q_dt(spark, sf_dir):
@@ -333,10 +372,11 @@ def _q_dt(spark, sf_dir):
 
 
 def _q_dmr(spark, sf_dir):
-    own = refine(_points(spark, sf_dir), 20.0, 0.02)
-    sides = [F.hypot(F.col(f"x{a}") - F.col(f"x{b}"), F.col(f"y{a}") - F.col(f"y{b}")) for a, b in ((1, 2), (2, 3), (3, 1))]
-    box = _points(spark, sf_dir).agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("side"))
-    return own.crossJoin(F.broadcast(box)).agg(F.count_if(is_bad(*corners(), min_angle=20.0) & (F.greatest(*sides) >= 0.02 * F.col("side"))).alias("bad_left"))
+    """No angle is below 30 degrees, every point is a corner, and the triangles cover the box."""
+    own = materialize(refine(_points(spark, sf_dir)), "refined")
+    ends = own.select(F.explode(F.array(*(F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (1, 2, 3)))).alias("p")).select("p.*").distinct()
+    lost = _points(spark, sf_dir).join(ends, ["x", "y"], "left_anti").agg(F.count("*").alias("lost"))
+    return own.agg(F.count_if(is_bad(*corners())).alias("bad_left"), F.round(F.sum(orientation(*corners()) / 2), 6).alias("area")).crossJoin(lost)
 
 
 QUERIES = {
@@ -344,8 +384,8 @@ QUERIES = {
     "geo_incircle": _q_incircle,
     "mesh_adj": lambda s, d: mesh_adjacency(_strip(s, d)[0]),
     "mesh_refine_stats": lambda s, d: refine_stats(*_strip(s, d)),
-    "nn_exact_quad": _q_near(True),
-    "nn_quad": _q_near(False),
+    "nn_exact_quad": _q_near,
+    "nn_quad": _q_some_near,
     "kd_build": _q_kd,
     "dt": _q_dt,
     "dmr": _q_dmr,
@@ -368,8 +408,11 @@ SELECT id, o > 0 AS left_turn, ((a * a + b * b) * (c * g - f * d) - (c * c + d *
     "mesh_refine_stats": f"WITH {_P}, {_E} SELECT count(*) AS elements, count(*) FILTER ({_BAD}) AS bad FROM e",
     "nn_exact_quad": f"""WITH {_P} SELECT a.id, arg_min(b.id, ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.id)) AS near,
   round(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 12) AS d2 FROM p a JOIN p b ON a.id <> b.id GROUP BY 1""",
-    "nn_quad": "SELECT count(*) AS n, CAST(0 AS BIGINT) AS own FROM embeddings",
-    "kd_build": "SELECT count(*) AS points, true AS small FROM embeddings",
+    "nn_quad": "SELECT count(*) AS n, CAST(0 AS BIGINT) AS own, CAST(0 AS BIGINT) AS beyond, CAST(0 AS BIGINT) AS nearer FROM embeddings",
+    "kd_build": f"""WITH RECURSIVE {_P}, t(it, id, x, y, leaf) AS (SELECT 0, id, x, y, CAST(1 AS BIGINT) FROM p UNION ALL
+  SELECT t.it + 1, t.id, t.x, t.y, 2 * t.leaf + CAST(CASE WHEN s.w >= s.h THEN t.x > s.mx ELSE t.y > s.my END AS BIGINT) FROM t JOIN
+  (SELECT leaf, max(x) - min(x) AS w, max(y) - min(y) AS h, quantile_cont(x, 0.5) AS mx, quantile_cont(y, 0.5) AS my FROM t GROUP BY 1 HAVING count(*) > 32 AND greatest(max(x) - min(x), max(y) - min(y)) > 0) s USING (leaf)),
+l AS (SELECT id, arg_max(leaf, it) AS leaf FROM t GROUP BY 1) SELECT leaf, count(*) AS n, min(id) AS "first" FROM l GROUP BY 1""",
     "dt": f"WITH {_P} SELECT CAST(0 AS BIGINT) AS violations, CAST(0 AS BIGINT) AS clockwise, count(DISTINCT (x, y)) AS corners FROM p",
-    "dmr": "SELECT CAST(0 AS BIGINT) AS bad_left",
+    "dmr": f"WITH {_P} SELECT CAST(0 AS BIGINT) AS bad_left, round((max(x) - min(x)) * (max(y) - min(y)), 6) AS area, CAST(0 AS BIGINT) AS lost FROM p",
 }
