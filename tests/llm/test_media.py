@@ -1,4 +1,5 @@
 import hashlib
+import re
 import zlib
 
 import pytest
@@ -25,7 +26,7 @@ def test_png_round_trip(n):
 
 
 def test_query_columns(spark, tmp_path):
-    texts = ["", None, "é" * 288, "a" * 577, "x" * 200_000, "copy", "copy", "copy"]
+    texts = ["", None, "é" * 288, "a" * 577, "x" * 200_000, "copy", "copy", "copy", "a < b & c > d\n\n<p>two</p>\r\n \nthree\n</article><img>\0\nlast"]
     rows = [(i if i != 7 else None, t, "clash") for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, digest string").write.parquet(f"{tmp_path}/documents.parquet")
     got = media.query(spark, str(tmp_path)).collect()
@@ -34,7 +35,37 @@ def test_query_columns(spark, tmp_path):
         data = (texts[r.doc_id if r.doc_id is not None else 7] or "").encode()
         payload = data + b"\xff" * (-len(data) % 576 or (0 if data else 576))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-        assert (r.media_sha256, r.position, r.caption) == (hashlib.sha256(media.encode(payload)).hexdigest(), 1, f"{len(data)} bytes")
+        lines = re.split(r"[\n\r]+", data.decode())
+        before = sum(bool(x.strip()) for x in lines[: len(lines) // 2])
+        assert (r.media_sha256, r.position, r.caption) == (hashlib.sha256(media.encode(payload)).hexdigest(), before, f"{len(data)} bytes")
+        assert r.media_bytes == len(media.encode(payload)) and r.feature == plain_feature(payload)
+
+
+def plain_feature(payload):
+    """The cells' means one by one, by the definition."""
+    height = len(payload) // 576
+    cells = []
+    for i in range(8):
+        rows = range(i * height // 8, (i + 1) * height // 8) or range(i * height // 8, i * height // 8 + 1)
+        for j in range(8):
+            values = [payload[y * 576 + x] for y in rows for x in range(j * 72, (j + 1) * 72)]
+            cells.append(sum(values) / max((i + 1) * height // 8 - i * height // 8, 1))
+    mean = sum(cells) / 64
+    return f"{int(''.join('1' if c > mean else '0' for c in cells), 2):016x}"
+
+
+@pytest.mark.parametrize("html", ["<p>a<![foo[ b", "<![x]]>", "<![CDATA[in]]>z", "<!", "<!-- open", "<a <b <c", "</", "&#xffffffff; &bogus;", "<![if !IE]>x<![endif]>y", "<p>\0<img data-digest=d", "<!DOCTYPE [<!ELEMENT x>]>t", "<![ignore[a]]>b<img data-digest=q>"])
+def test_malformed_html_never_stops_a_page(html):
+    got = media.interleave(f"before {html} after")
+    assert [x["position"] for x in got] == list(range(len(got))) and got[0]["text"].startswith("before")
+
+
+def test_paragraphs_and_figure_stay_in_order(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("one <i>\ntwo & more\nthree\nfour",)], "t string").select(media.page(F.col("t"), F.lit("d"), F.lit("cap")).alias("html"))
+    got = [(x["kind"], x["text"], x["digest"], x["caption"]) for x in media.interleave(rows.first()["html"])]
+    assert got == [("text", "one <i>", None, None), ("text", "two & more", None, None), ("media", None, "d", "cap"), ("text", "three", None, None), ("text", "four", None, None)]
 
 
 def test_missing_payload_stays_with_nulls(spark):

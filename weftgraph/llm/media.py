@@ -11,7 +11,7 @@ a digest are a written table, so the join's sides are plain exchanges and a dige
 all references share is split by adaptive execution.
 
 Edge cases: a null text or page is empty (the padded payload is then 576 bytes of 255; the
-sequence has no items); equal texts have equal values in all columns; a reference whose digest the
+sequence has no items); HTML that no parser would take is text; equal texts have equal values in all columns; a reference whose digest the
 store lacks stays, with nulls; null ids and repeated rows stay as rows of their own; empty tables
 give no rows; further columns are ignored; texts of any length are stored whole.
 """
@@ -91,10 +91,25 @@ class Interleaver(HTMLParser):
             (self.words if self.caption is None else self.caption).append(data)
 
 
+    def parse_html_declaration(self, i):
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # a marked section that is none: a comment up to the next >
+            at = self.rawdata.find(">", i)
+            return at + 1 if at >= 0 else len(self.rawdata)
+
+    def unknown_decl(self, data):
+        if data.startswith("CDATA["):
+            self.handle_data(data[6:])
+
+
 def interleave(html: str | None) -> list[dict]:
     parser = Interleaver()
-    parser.feed(html or "")
-    parser.close()
+    try:
+        parser.feed(html or "")
+        parser.close()
+    except AssertionError:  # whatever else the parser takes to be impossible: what is left is text
+        parser.handle_data(parser.rawdata)
     if parser.caption is not None:
         parser.handle_endtag("figcaption")
     parser.flush()
@@ -212,12 +227,23 @@ def resolve(found: DataFrame, features: DataFrame, *keep: str) -> DataFrame:
     return refs.join(features, "digest", "left")
 
 
+def page(text: Column, digest: Column, caption: Column) -> Column:
+    """An article of the text's lines and, after the middle one, a figure with the digest's image."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\0", "\ufffd")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    lines = F.split(F.coalesce(text, F.lit("")), "[\n\r]+")
+    half = F.floor(F.size(lines) / 2).cast("int")
+    part = lambda of: F.concat(F.lit("<p>"), F.array_join(of, "</p><p>"), F.lit("</p>"))
+    figure = F.concat(F.lit("<figure><img data-digest='"), digest, F.lit("'><figcaption>"), caption, F.lit("</figcaption></figure>"))
+    return F.concat(F.lit("<article>"), part(F.slice(lines, F.lit(1), half)), figure, part(F.slice(lines, half + 1, F.size(lines))), F.lit("</article>"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a page that shows its text's bytes as one captioned image."""
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", F.octet_length(common.text_bytes("text")).cast("long").alias("n_bytes"), padded("text").alias("payload"))
+    """Each document as a page: its text's lines as paragraphs, and after the middle one its bytes as a
+    captioned image, so that the image's position is the number of paragraphs before it."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(common.text_bytes("text")).cast("long").alias("n_bytes"), padded("text").alias("payload"))
     docs = docs.withColumn("digest", F.sha2("payload", 256))
-    html = F.concat(F.lit("<article><p>Bytes of a text</p><figure><img data-digest='"), "digest", F.lit("'><figcaption>"), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure></article>"))
-    pages = docs.select("doc_id", "n_bytes", html.alias("html"))
+    pages = docs.select("doc_id", "n_bytes", page(F.col("text"), F.col("digest"), F.concat(F.col("n_bytes").cast("string"), F.lit(" bytes"))).alias("html"))
     features = read_back(store(docs))
     out = resolve(sequences(pages, "doc_id", "n_bytes"), features, "doc_id", "n_bytes")
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
