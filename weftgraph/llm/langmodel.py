@@ -43,10 +43,10 @@ from . import common
 FOLDS, HELD_OUT = 7, 2
 VOCABULARY, FAN = 1 << 18, 16
 ROUNDS, STEP, PRIOR = 3, 0.4, 4.0
-TOKENS_A_ROW, LEAST_ROWS, MOST_ROWS = 256, 1 << 15, 1 << 19
+TOKENS_A_ROW, LEAST_ROWS, MOST_ROWS = 512, 1 << 15, 1 << 19
 #: Tokens worked on at once, rows of a message, distinct words a task counts before it hands them on,
 #: tokens of a round that are worth a task.
-BATCH, BLOCK, COUNTED, TASK = 1 << 15, 512, 300_000, 250_000
+BATCH, BLOCK, COUNTED, TASK = 1 << 16, 512, 300_000, 250_000
 END = b""  # no word is empty
 NEVER = -60.0
 
@@ -215,7 +215,7 @@ class Model:
             _, node, branch, rows = self.decisions(ids[at : at + BATCH], features[:, at : at + BATCH])
             _, e, total = self.exponents(weights, node, rows)
             p, flat = np.ascontiguousarray((e / total).T, np.float64), rows.ravel()
-            observed += np.bincount(np.tile(branch * np.int64(self.rows), 3) + flat, minlength=FAN * self.rows).reshape(FAN, -1)
+            np.add.at(observed.reshape(-1), np.tile(branch * np.int64(self.rows), 3) + flat, 1.0)
             for k in range(FAN):
                 expected[k] += np.bincount(flat, np.tile(p[k], 3), self.rows)
 
