@@ -8,6 +8,8 @@ import pytest
 from weftgraph.plans import registry
 
 SF = "/root/testdata/sf0.001"
+#: Queries that SQL can't express: test_forms holds them against plain algorithms.
+WITHOUT = {"mst_edges"}
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="needs the test tables")
 
 
@@ -29,7 +31,7 @@ def test_query(spark, duck, name):
     found = registry.QUERIES[name](spark, SF)
     rows = [tuple(r) for r in found.collect()]
     if name not in registry.ORACLES:
-        assert found.columns
+        assert name in WITHOUT and rows
         return
     want = duck.sql(registry.ORACLES[name])
     assert sorted(found.columns) == sorted(want.columns)
