@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from weftgraph.operators.traversal import hub
 from weftgraph.plans.fixtures import HUB, cte, edges
 from weftgraph.plans.graph import Graph
-from weftgraph.plans.scratch import materialize
+from weftgraph.plans.scratch import discard, materialize
 
 
 def for_each(items: DataFrame, body: Callable[[DataFrame], DataFrame], stop: Callable[[DataFrame], bool] | None = None) -> DataFrame:
@@ -64,6 +64,28 @@ def for_each_ordered(items: DataFrame, priority: str, body: Callable[[DataFrame]
         turn += 1
 
 
+def for_each_safe(items: DataFrame, priority: str, touches: Callable[[DataFrame], DataFrame], body: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Items (id, priority, ..) in the order (priority, id) as far as it matters: ``touches`` gives the
+    nodes (id, node) of items, and a round takes every open item that is the first at all of its nodes,
+    whatever its priority. ``body`` may push new items, which must come after all that they touch.
+    Returns the items with ``round``."""
+    open_, done, turn = materialize(items, "safe"), [], 0
+    while not open_.isEmpty():
+        near = touches(open_).join(open_.select("id", F.struct(priority, "id").alias("turn")), "id")
+        first = near.groupBy("node").agg(F.min("turn").alias("first"))
+        late = near.join(first, "node").filter("first < turn").select("id")
+        now = materialize(open_.join(late, "id", "left_anti"), "safe-now")
+        done.append(now.withColumn("round", F.lit(turn)))
+        rest = open_.join(now.select("id"), "id", "left_anti")
+        old, open_ = open_, materialize(rest if body is None else rest.unionByName(body(now)), "safe")
+        discard(old)
+        turn += 1
+    out = done[0] if done else items.withColumn("round", F.lit(0)).limit(0)
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
 def independent_rounds(items: DataFrame, conflicts: DataFrame) -> DataFrame:
     """(id, round): a deterministic schedule in which no two items of a round conflict: in each, the
     open items smaller than all their open conflicting ones are taken."""
@@ -110,6 +132,13 @@ def _q_ordered(spark, sf_dir):
     return for_each_ordered(first, "at", push).select("id", "at")
 
 
+def _q_safe(spark, sf_dir):
+    """Orders by date; one touches its customer, so its round is its place among the customer's orders."""
+    own = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), "o_orderdate", "o_custkey")
+    found = for_each_safe(own, "o_orderdate", lambda rows: rows.select("id", F.col("o_custkey").alias("node")))
+    return found.select("id", F.col("round").cast("long").alias("turn"))
+
+
 def _q_oneach(spark, sf_dir):
     def body(part, stream):
         for pdf in stream:
@@ -132,7 +161,7 @@ def _q_doall(spark, sf_dir):
     return do_all(own.select("l_orderkey", "l_quantity"), double=(F.col("l_quantity") * 2).cast("long")).select("l_orderkey", "double")
 
 
-QUERIES = {"l_foreach": _q_foreach, "l_foreach_local": _q_foreach, "l_break": _q_break, "l_push": _q_ordered, "l_ordered": _q_ordered, "l_ordered_u": _q_ordered, "l_ordered_2p": _q_ordered, "l_ordered_lc": _q_ordered, "l_doall": _q_doall, "l_oneach": _q_oneach, "l_det": _q_det}
+QUERIES = {"l_foreach": _q_foreach, "l_foreach_local": _q_foreach, "l_break": _q_break, "l_push": _q_ordered, "l_ordered": _q_ordered, "l_ordered_u": _q_ordered, "l_ordered_2p": _q_ordered, "l_ordered_lc": _q_safe, "l_doall": _q_doall, "l_oneach": _q_oneach, "l_det": _q_det}
 _REACH = f"""WITH RECURSIVE {cte("sparse")}, {HUB}, t(id, d) AS (SELECT id, 0 FROM s UNION SELECT e.dst, t.d + 1 FROM t JOIN e ON e.src = t.id WHERE t.d < {{depth}})"""
 _ALL = f"""WITH RECURSIVE {cte("sparse")}, {HUB}, t(id) AS (SELECT id FROM s UNION SELECT e.dst FROM t JOIN e ON e.src = t.id) SELECT DISTINCT id FROM t"""
 _WALK = _REACH.format(depth=3) + ' SELECT DISTINCT id, d AS "at" FROM t'
@@ -144,7 +173,7 @@ ORACLES = {
     "l_ordered": _WALK,
     "l_ordered_u": _WALK,
     "l_ordered_2p": _WALK,
-    "l_ordered_lc": _WALK,
+    "l_ordered_lc": "SELECT o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS turn FROM orders",
     "l_doall": "SELECT l_orderkey, CAST(l_quantity * 2 AS BIGINT) AS double FROM lineitem",
     "l_oneach": "SELECT count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem",
     "l_det": f"""WITH {cte("sparse")} SELECT (SELECT count(*) FROM v) AS items,
