@@ -6,20 +6,24 @@ run of m shingles lies whole in one window. Such a window that holds a share c o
 resemblance of c m / (2S + (1 - c) m) at least, so 4 / 21 for c = 0.8 at the worst S. With
 ``BANDS`` bands of one MinHash each the template is then found with a probability of
 1 - (17 / 21) ** 48 > 0.9999. Candidates are verified over the words themselves: containment is the
-share of the template's distinct shingles in the window, 0.8 or more being a match.
+share of the template's distinct shingles in a run no longer than a window, 0.8 or more being a match.
+Candidate windows of a template are looked at together, and every place is told: of runs with a word
+in common the one in the template's order, then the fullest, the shortest, the first.
 
 Everything happens in the pass that reads the text; nothing is shuffled. Templates are a parameter
 and go to the workers with the code. Long texts are taken in overlapping segments of bounded size.
 
 Edge cases: null texts are empty; texts or templates under five words are one shingle of all their
-words (such a template matches only texts of just those words); overlapping windows that find one
-template report it once, the fullest and then first; a null doc_id stays null; repeated rows report
-each; an empty table gives no rows; further columns are ignored.
+words (such a template matches only texts of just those words); places of one template never share a
+word; a null doc_id stays null; repeated rows report each; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -86,21 +90,21 @@ def signs(hashes: np.ndarray) -> np.ndarray:
     return (hashes[None, :] ^ _SEEDS) * _SEEDS
 
 
-def shingle_set(words: list[str]) -> set[str]:
-    return {" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
-
-
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.known = Hashes()
-        self.sets: dict[str, set[str]] = {}
+        self.places: dict[str, dict[str, list[int]]] = {}  # of each shingle in the template
+        self.size: dict[str, int] = {}
         by_size: dict[int, list[tuple[str, np.ndarray]]] = {}
         for name, text in templates.items():
             words = _WORD.findall(text.lower())
             if words:
-                self.sets[name] = shingle_set(words)
                 m = max(1, len(words) - SHINGLE + 1)
-                by_size.setdefault(1 << (m - 1).bit_length(), []).append((name, signs(shingle_hashes(words, self.known)).min(1)))
+                self.places[name] = {}
+                for k in range(m):
+                    self.places[name].setdefault(" ".join(words[k : k + SHINGLE]), []).append(k)
+                self.size[name] = 1 << (m - 1).bit_length()
+                by_size.setdefault(self.size[name], []).append((name, signs(shingle_hashes(words, self.known)).min(1)))
         self.by_size = []
         for size, own in sorted(by_size.items()):
             marked = np.zeros(1 << 16, bool)
@@ -132,19 +136,64 @@ class Scanner:
                     out.add((int(start[at]), size, name))
         return out
 
-    def verify(self, words: list[str], found: set[tuple[int, int, str]]) -> list[tuple[str, float, int, int]]:
-        """(template, containment, first word, last word) of the candidates that hold, apart."""
-        held = []
-        for at, size, name in found:
-            own, stop = self.sets[name], min(at + 2 * size, max(1, len(words) - SHINGLE + 1))
-            places = [(k, s) for k in range(at, stop) if (s := " ".join(words[k : k + SHINGLE])) in own]
-            share = len({s for _, s in places}) / len(own)
+    def spans(self, hits: list[tuple[int, str]], name: str, ordered: bool) -> list[tuple[float, int, int, int]]:
+        """(-containment, length, first and last shingle) of the runs that hold the template, one at
+        most for each hit, its last: back from there as long as no shingle occurs more often than in
+        the template, the run fits a window and, if ``ordered``, follows the template."""
+        own, longest = self.places[name], 2 * self.size[name]
+        out, seen, low, last = [], Counter(), 0, -1
+        for k, (place, s) in enumerate(hits):
+            at = next((p for p in own[s] if p > last), own[s][0])
+            if ordered and at <= last:
+                low = k
+                seen.clear()
+            last = at
+            seen[s] += 1
+            while seen[s] > len(own[s]) or place - hits[low][0] >= longest:
+                old = hits[low][1]
+                seen[old] -= 1
+                if not seen[old]:
+                    del seen[old]
+                low += 1
+            share = len(seen) / len(own)
             if share >= CONTAINMENT:
-                held.append((-share, places[0][0], min(places[-1][0] + SHINGLE, len(words)) - 1, name))
+                out.append((-share, place - hits[low][0], hits[low][0], place))
+        return out
+
+    def apart(self, hits: list[tuple[int, str]], name: str) -> list[tuple[int, int, float]]:
+        """(first shingle, last shingle, containment) of places without a common word: those in the
+        template's order first, then the fullest, the shortest, the first; then what lies between."""
+        out: list[tuple[int, int, float]] = []
+        pieces = [hits]
+        while pieces:
+            piece = pieces.pop()
+            taken: list[tuple[int, int, float]] = []
+            for share, _, a, b in sorted(self.spans(piece, name, True)) + sorted(self.spans(piece, name, False)):
+                k = bisect(taken, (a, b, 2.0))
+                if (not k or taken[k - 1][1] + SHINGLE <= a) and (k == len(taken) or b + SHINGLE <= taken[k][0]):
+                    taken.insert(k, (a, b, -share))
+            out += taken
+            at = 0
+            for a, b, _ in taken:
+                upto, after = bisect(piece, (a - SHINGLE + 1,)), bisect(piece, (b + SHINGLE,))
+                pieces += [piece[at:upto]] if at < upto else []
+                at = after
+            pieces += [piece[at:]] if taken and at < len(piece) else []
+        return out
+
+    def verify(self, words: list[str], found: set[tuple[int, int, str]]) -> list[tuple[str, float, int, int]]:
+        """(template, containment, first word, last word) of the places that hold, apart."""
+        windows: dict[str, list[int]] = {}
+        for at, _, name in sorted(found):
+            windows.setdefault(name, []).append(at)
         out: list[tuple[str, float, int, int]] = []
-        for share, a, b, name in sorted(held):
-            if not any(n == name and a <= d and c <= b for n, _, c, d in out):
-                out.append((name, -share, a, b))
+        for name, starts in windows.items():
+            own, hits, done = self.places[name], [], 0
+            for at in starts:
+                stop = min(at + 2 * self.size[name], max(1, len(words) - SHINGLE + 1))
+                hits += [(k, s) for k in range(max(at, done), stop) if (s := " ".join(words[k : k + SHINGLE])) in own]
+                done = max(done, stop)
+            out += [(name, share, a, min(b + SHINGLE, len(words)) - 1) for a, b, share in self.apart(hits, name)]
         return sorted(out, key=lambda x: (x[2], x[0]))
 
     def scan(self, texts: list[str]) -> list[list[tuple[str, float, int, int]]]:
