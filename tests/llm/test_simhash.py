@@ -70,6 +70,19 @@ def test_groups_equal_brute_force(spark):
     assert got == want | {(500, dict(want)[0]), (501, dict(want)[0]), (None, dict(want)[0])}
 
 
+def test_hot_buckets_are_dealt_anew(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAVES", 20)
+    rnd = random.Random(6)
+    bits = rnd.sample(range(64), 14)
+    fps = sorted({sum(1 << b for b in rnd.sample(bits, rnd.randint(3, 11))) for _ in range(260)} | set(near_set(rnd, 150)))
+    nodes = spark.createDataFrame([(fp - 2**64 if fp >= 2**63 else fp,) for fp in fps], "fp long")
+    dealt = simhash.dealt(nodes).groupBy("bucket").count().collect()
+    assert max(r["count"] for r in simhash.buckets(nodes).groupBy("bucket").count().collect()) > 60
+    assert max(r["count"] for r in dealt) <= 20
+    got = {(r.doc_id, r.component_id) for r in simhash.groups(nodes.selectExpr("fp", "row_number() OVER (ORDER BY fp < 0, fp) - 1L AS doc_id")).collect()}
+    assert got == set(enumerate(brute(fps, 4)))
+
+
 def test_fingerprints_and_edge_cases(spark):
     texts = ["", None, " \t\n", "One", "ONE two", "a b c d", "A b C d e É É", "x " * 70000, "nb sp ace d", "é" * 9]
     rows = [(i, t, "clash", i) for i, t in enumerate(texts)] + [(None, "a b c d", "", 0), (5, "a b c d", "", 0)]

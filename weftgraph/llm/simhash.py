@@ -4,7 +4,9 @@
 2. Distinct fingerprints only go on: copies cost one row, however many there are.
 3. Fingerprints within ``radius`` bits agree on two of ``radius + 2`` blocks at least, so each goes
    to the bucket of every pair of blocks (15 for radius 4, about 21 shared bits each): exact, and a
-   bucket holds a two-millionth of the fingerprints.
+   bucket holds a two-millionth of the fingerprints. Buckets counted to hold more than ``LEAVES``
+   are dealt anew by each of ``radius + 1`` blocks of their free bits, one of which is equal in
+   each pair within the radius: exact again, and it ends as the fingerprints are distinct.
 4. Within a task, buckets sorted by the Gray rank of their fingerprints form a hierarchy: an inner
    node stores the bits all its members share, and a search that descends from pairs of nodes adds
    up the differing shared bits, dropping whole groups beyond the radius. Pairs of nodes already
@@ -20,6 +22,7 @@ gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -78,6 +81,16 @@ def gray_rank(fp: Column) -> Column:
     return fp
 
 
+def cut(bits: list[int], n: int) -> list[int]:
+    """Masks of n blocks of bits, as even as can be."""
+    ends = [len(bits) * k // n for k in range(n + 1)]
+    return [sum(1 << b for b in bits[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
+
+
+def signed(mask: int) -> int:
+    return mask - (mask >> 63 << 64)
+
+
 def buckets(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(bucket, fp) for every pair of the radius + 2 blocks."""
     n = radius + 2
@@ -87,6 +100,41 @@ def buckets(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return nodes.select(F.explode(F.array(*keys)).alias("bucket"), "fp")
 
 
+def finer(rows: DataFrame, radius: int) -> DataFrame:
+    """(bucket, mask, fp): rows (mask, fp) under each mask with one more of the radius + 1 blocks of free bits."""
+
+    def run(stream):
+        for batch in stream:
+            mask, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for m in np.unique(mask).tolist():
+                own = pa.array(fp[mask == m])
+                for block in cut([b for b in range(64) if not m >> b & 1], radius + 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), signed((m | block) % 2**64))), own], names=["mask", "fp"])
+
+    found = rows.select("mask", "fp").mapInArrow(run, "mask long, fp long")
+    return found.select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), "mask", "fp")
+
+
+def dealt(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(bucket, fp), in buckets of ``LEAVES`` or fewer but for those whose hashes meet."""
+    rows, most = buckets(nodes, radius), max(LEAVES, 1 << radius)
+    if nodes.count() <= most:
+        return rows
+    blocks = cut(list(range(64)), radius + 2)
+    pairs = F.array(*(F.lit(signed(a | b)) for a, b in combinations(blocks, 2)))
+    level = rows.withColumn("mask", F.get(pairs, F.shiftright("bucket", 48).cast("int")))
+    done = []
+    while True:
+        hot = common.materialize(level.groupBy("bucket").count().filter(F.col("count") > most).select("bucket"), "hot-buckets")
+        n = hot.count()
+        if not n:
+            done.append(level.select("bucket", "fp"))
+            return reduce(DataFrame.union, done)
+        hot = F.broadcast(hot) if n <= common.FEW_ROWS else hot
+        done.append(level.join(hot, "bucket", "left_anti").select("bucket", "fp"))
+        level = common.materialize(finer(level.join(hot, "bucket"), radius), "finer-buckets")
+
+
 class GrayIndex:
     """The hierarchy over fingerprints sorted by bucket and Gray rank; a root for each bucket."""
 
@@ -163,33 +211,35 @@ class GrayIndex:
 
 
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(src, dst): for each bucket a star over each of its components."""
+    """(src, dst): for each bucket a star over each of its components; fingerprints are distinct."""
+
+    def settled(own: np.ndarray, some: np.ndarray):
+        if len(own) > 1:
+            doubled = np.zeros(len(own), bool)
+            doubled[1:] = own[1:] == own[:-1]
+            doubled[:-1] |= doubled[1:]
+            own, some = own[doubled], some[doubled]
+            found = GrayIndex(own, some).components(radius) if len(own) else np.empty(0, int)
+            linked = found != np.arange(len(found))
+            if linked.any():
+                yield pa.RecordBatch.from_arrays([pa.array(some[linked].view(np.int64)), pa.array(some[found[linked]].view(np.int64))], names=["src", "dst"])
 
     def run(stream):
-        bucket, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
-
-        def settle(upto: int):
-            nonlocal bucket, fps
-            own, some, bucket, fps = bucket[:upto], fps[:upto], bucket[upto:], fps[upto:]
-            if upto > 1:
-                doubled = np.zeros(upto, bool)
-                doubled[1:] = own[1:] == own[:-1]
-                doubled[:-1] |= doubled[1:]
-                own, some = own[doubled], some[doubled]
-                found = GrayIndex(own, some).components(radius) if len(own) else np.empty(0, int)
-                linked = found != np.arange(len(found))
-                if linked.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(some[linked].view(np.int64)), pa.array(some[found[linked]].view(np.int64))], names=["src", "dst"])
-
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        total = 0
         for batch in stream:
-            bucket = np.r_[bucket, batch.column(0).to_numpy(zero_copy_only=False)]
-            fps = np.r_[fps, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)]
-            if len(fps) >= LEAVES and bucket[0] != bucket[-1]:
-                yield from settle(int(np.searchsorted(bucket, bucket[-1])))
-        yield from settle(len(fps))
-
-    dealt = buckets(nodes, radius).repartition("bucket").sortWithinPartitions("bucket", gray_rank(F.col("fp")))
-    return dealt.mapInArrow(run, "src long, dst long")
+            held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
+            total += batch.num_rows
+            if total >= LEAVES and batch.num_rows and held[0][0][0] != held[-1][0][-1]:
+                bucket, fps = (np.concatenate(x) for x in zip(*held, strict=True))
+                upto = int(np.searchsorted(bucket, bucket[-1]))
+                yield from settled(bucket[:upto], fps[:upto])
+                held, total = [(bucket[upto:], fps[upto:])], len(fps) - upto
+        if total:
+            yield from settled(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    rows = dealt(nodes, radius).repartition("bucket").sortWithinPartitions("bucket", gray_rank(F.col("fp")))
+    return rows.mapInArrow(run, "src long, dst long")
 
 
 def rooted(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
