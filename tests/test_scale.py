@@ -81,3 +81,20 @@ def test_sums_of_long_rows_are_cut(spark):
     wide = np.random.default_rng(1).random((4, (1 << 20) // 3))  # three edges a piece
     got = engine.summed_ends(np.arange(3), start, other, None, wide)
     assert np.allclose(got, np.add.reduceat(wide[other], start))
+
+
+def test_clusters_beyond_one_task_write_no_pairs(spark, monkeypatch):
+    from weftgraph.operators import bodies
+
+    rnd, rows = random.Random(4), []
+    for k in range(150):
+        d = [rnd.uniform(-1, 1) for _ in range(3)]
+        norm = sum(x * x for x in d) ** 0.5
+        rows.append((k, float(rnd.randint(1, 3)), *(rnd.randint(0, 5) / 4 for _ in range(3)), *(x / norm for x in d)))
+    lights = spark.createDataFrame(rows, "id long, intensity double, x double, y double, z double, dx double, dy double, dz double")
+    tree = lambda: sorted(tuple(r) for r in bodies.cluster(lights).select("id", "left", "right", "size").collect())
+    want, names, plain = tree(), [], bodies.materialize
+    assert len(want) == 149
+    monkeypatch.setattr(bodies, "materialize", lambda df, what: names.append(what) or plain(df, what))
+    monkeypatch.setattr(bodies, "COMPACT_LIGHTS", 10)
+    assert tree() == want and names == ["clusters", "merges"]
