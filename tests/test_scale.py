@@ -1,10 +1,12 @@
 """Forms that larger graphs take: what they write, how they are dealt, and that they are right."""
 
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
-from weftgraph.operators import ranks, traversal
+from weftgraph.operators import partitioning, ranks, traversal
 from weftgraph.plans import engine
 from weftgraph.plans.graph import Graph
 
@@ -98,3 +100,66 @@ def test_clusters_beyond_one_task_write_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(bodies, "materialize", lambda df, what: names.append(what) or plain(df, what))
     monkeypatch.setattr(bodies, "COMPACT_LIGHTS", 10)
     assert tree() == want and names == ["clusters", "merges"]
+
+
+def cliques(n, size, seed=3):
+    """Edges of cliques in mixed ids, a ring of single edges through them."""
+    ids = list(range(n * size))
+    random.Random(seed).shuffle(ids)
+    own = [ids[i * size : (i + 1) * size] for i in range(n)]
+    return [(a, b, 2) for c in own for i, a in enumerate(c) for b in c[:i]] + [(own[i][0], own[i - 1][1], 1) for i in range(n)]
+
+
+def parts_of(spark, rows, vertices, k, small):
+    graph = Graph(vertices, spark.createDataFrame(rows, "src long, dst long, w long").repartition(3))
+    found = [tuple(r) for r in partitioning.partition(graph, k, small).collect()]
+    assert len(found) == len(dict(found)) == vertices.count() and set(dict(found).values()) <= set(range(k))
+    return dict(found)
+
+
+def test_partition_writes_no_tables_a_round_and_has_one_result(spark, monkeypatch):
+    names, plain, rows = [], partitioning.materialize, cliques(24, 10)
+    monkeypatch.setattr(partitioning, "materialize", lambda df, what: names.append(what) or plain(df, what))
+    want = parts_of(spark, rows, spark.range(240), 4, 24)
+    assert names == ["part-nodes", "packed"]
+    size = Counter(want.values())
+    assert len(size) == 4 and max(size.values()) <= 61
+    assert sum(w for a, b, w in rows if want[a] != want[b]) <= 8  # whole cliques, in few stretches of the ring
+    monkeypatch.setattr(engine, "COMPACT_EDGES", 200)
+    names.clear()
+    assert parts_of(spark, rows, spark.range(240), 4, 24) == want and set(names) == {"part-nodes", "packed"}
+    monkeypatch.setattr(engine, "COMPACT_EDGES", 3)  # the smallest graph, too, has too many edges for the driver
+    got = parts_of(spark, rows, spark.range(240), 4, 24)
+    assert max(Counter(got.values()).values()) <= 61 and sum(w for a, b, w in rows if got[a] != got[b]) <= 300  # of 2,184, 1,638 by chance
+    monkeypatch.setattr(engine, "PACKED_IDS", 100)  # the finest level as tables
+    got = parts_of(spark, rows, spark.range(240), 4, 24)
+    assert max(Counter(got.values()).values()) <= 70 and sum(w for a, b, w in rows if got[a] != got[b]) <= 100
+
+
+def test_partition_of_hubs_lone_vertices_and_strangers(spark, monkeypatch):
+    rows = [(0, i, 1) for i in range(1, 400)] + [(5, 5, 9), (7, 10**12, 1), (3, 2, 4), (2, 3, 4), (2, 3, 1)]
+    vertices = spark.range(600)  # 400 and on have no edges; 10**12 is none of them
+    want = parts_of(spark, rows, vertices, 3, 30)
+    assert max(Counter(want.values()).values()) <= 206 and want[2] == want[3]
+    monkeypatch.setattr(engine, "COMPACT_EDGES", 100)
+    assert parts_of(spark, rows, vertices, 3, 30) == want
+    assert parts_of(spark, [(1, 1, 1)], spark.range(4), 2, 2) == {0: 0, 1: 0, 2: 1, 3: 1}
+    assert parts_of(spark, [(1, 1, 1)], spark.range(0), 2, 2) == {}
+
+
+def test_coarsening_a_hub_does_not_stop():
+    keys, start = np.arange(20_001, dtype=np.int32), np.r_[0, np.arange(20_000, 40_000)]
+    other = np.r_[np.arange(1, 20_001), np.zeros(20_000, int)].astype(np.int32)
+    level = partitioning.Held(20_001, [(keys, start, other, np.ones(40_000, np.int64))], "i8")
+    group, weight = partitioning.grouped(level, np.ones(20_001, np.int64), 100, 500)
+    assert len(weight) < 4_000 and weight.sum() == 20_001 and weight.max() <= 8
+    assert (np.bincount(group) == weight).all()
+
+
+def test_weights_of_parts_with_fractions_and_borders(spark):
+    rows = [(0, 1, 0.5), (1, 2, 0.25), (2, 0, 0.75), (2, 3, 1.5), (3, 2, 0.125), (4, 4, 3.0)]
+    graph = Graph(spark.range(6), spark.createDataFrame(rows, "src long, dst long, w double"))
+    parts = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, 2)], "id long, part int")
+    assert sorted(tuple(r) for r in partitioning.cut_stats(graph, parts).collect()) == [(0, 3, 1.5, 1.5, 1), (1, 2, 3.0, 0.125, 1), (2, 1, 0.0, 0.0, 0)]
+    halves = {r.id: r.part for r in partitioning.partition(graph, 2).collect()}
+    assert Counter(halves.values()) == {0: 3, 1: 3}
